@@ -77,3 +77,30 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[dict[str, list]],
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
     return df.select(*columns).mapInArrow(run, struct)
+
+
+def append_columns(df: DataFrame, inputs: list[str], fn: Callable[..., dict[str, list]], new: str, rows: int = 512) -> DataFrame:
+    """Add the columns of the DDL `new`, computed by fn from lists of the inputs' values.
+
+    All columns of df are kept as they are; those with the name of a new column are replaced.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(new)
+    kept = [f for f in df.schema.fields if f.name not in added.fieldNames()]
+    names = [f.name for f in kept]
+    read = [c for c in inputs if c not in names]
+    out = StructType(kept + added.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(out)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                got = fn(*[part.column(part.schema.get_field_index("_in_" + c if c in read else c)).to_pylist() for c in inputs])
+                columns = [part.column(i).cast(target.field(i).type) for i in range(len(names))]
+                columns += [pa.array(got[f.name], target.field(f.name).type) for f in added.fields]
+                yield pa.RecordBatch.from_arrays(columns, schema=target)
+
+    return df.select(*names, *[df[c].alias("_in_" + c) for c in read]).mapInArrow(run, out)
