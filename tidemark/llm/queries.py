@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, packing, secrets, sharding
+from tidemark.llm import html_text, language, packing, secrets, sharding
 
 SHARDS = 24
 BYTE_BPE = "byte_bpe_50k.json"
@@ -49,6 +49,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -62,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,
+    "op7_html": op7_html,
     "op10_sharding": op10_sharding,
 }
