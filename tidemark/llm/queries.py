@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, language, packing, pieces, secrets, sharding
+from tidemark.llm import html_text, language, ngram_join, packing, pieces, secrets, sharding
 
 SHARDS = 24
 BYTE_BPE = "byte_bpe_50k.json"
@@ -24,6 +24,10 @@ def _tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(_table(spark, sf_dir, "documents"), _tokenizer_path(BYTE_BPE))
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -79,6 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_packing": op2_packing,
     "op3_pieces": op3_pieces,
     "op4_secrets": op4_secrets,
