@@ -28,28 +28,32 @@ PIECE = 256
 #: Windows in a group: so many are balanced together, and about half of one is padding.
 GROUP_WINDOWS = 192
 #: Words whose ids a worker keeps at most.
-CACHE = 500_000
+CACHE = 400_000
 _LONGEST_KEPT = 40
 #: Fixed value: how byte-level BPE of this family splits a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-class _Words(dict):
-    """Ids, as bytes, of words that follow a space; those not known yet are worked out and kept."""
+class _Kept(dict):
+    """Ids, as bytes, of short texts, worked out when first asked for.
+
+    When it is full the entries become the old ones, of which those asked for again return.
+    """
 
     def __init__(self, ids) -> None:
         super().__init__()
         self.ids = ids
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise ValueError("not between two characters that are not white space")
-        found = self.ids(" " + word)
-        if len(word) <= _LONGEST_KEPT:
+    def __missing__(self, text: str) -> bytes:
+        if (found := self.old.get(text)) is None:
+            found = self.ids(text)
+        if len(text) <= _LONGEST_KEPT:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
-            self[word] = found
+            self[text] = found
         return found
 
 
@@ -79,31 +83,36 @@ class Encoder:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = [b for b in range(256) if b not in set(plain)]
         self.symbol = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self.marks = {c: self._ids([c]) for c in ".,;:!?"}
-        self.known = _Words(self._word)
+        self.known = _Kept(self._word)
+        self.parts = _Kept(self._part)
 
-    def _ids(self, parts: list[str]) -> bytes:
-        found = [t.id for part in parts for t in self.model.tokenize("".join(map(self.symbol.__getitem__, part.encode())))]
+    def _ids(self, part: str) -> bytes:
+        found = [t.id for t in self.model.tokenize("".join(map(self.symbol.__getitem__, part.encode())))]
         return struct.pack(f"<{len(found)}I", *found)
 
     def _word(self, word: str) -> bytes:
-        """ids() of a space and a word; letters, with or without a mark after them, need no split."""
-        if word[1:].isalpha():
-            return self._ids([word])
-        if word[-1] in self.marks and word[1:-1].isalpha():
-            return self.known[word[1:-1]] + self.marks[word[-1]]
-        return self.ids(word)
+        """Ids of a space and a word; letters, with or without a mark after them, need no split."""
+        if word.isalpha():
+            return self._ids(" " + word)
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise ValueError("not between two characters that are not white space")
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return self.known[word[:-1]] + self.parts[word[-1]]
+        return self.encode_whole(" " + word)
+
+    def _part(self, part: str) -> bytes:
+        return self.known[part[1:]] if part[0] == " " and part[1:].isalpha() else self._ids(part)
 
-    def ids(self, text: str) -> bytes:
-        return self._ids(self.split(text))
+    def encode_whole(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> bytes:
         words = text.split(" ")
         try:
-            return b"".join([self.ids(words[0]), *map(self.known.__getitem__, words[1:])])
+            return b"".join([self.encode_whole(words[0]), *map(self.known.__getitem__, words[1:])])
         except ValueError:
             words = _CUT.split(text)
-            return b"".join([self.ids(words[0]), *[self.known[w] if not w[0].isspace() and not w[-1].isspace() else self.ids(" " + w) for w in words[1:]]])
+            return b"".join([self.encode_whole(words[0]), *[self.encode_whole(" " + w) if w[-1].isspace() else self.known[w] for w in words[1:]]])
 
 
 _encoders: dict[str, Encoder] = {}
