@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, language, ngram_join, packing, pieces, secrets, sharding
+from tidemark.llm import cover_tree, html_text, language, ngram_join, packing, pieces, secrets, sharding
 
 SHARDS = 24
 BYTE_BPE = "byte_bpe_50k.json"
@@ -68,6 +68,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(_table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pieces": op3_pieces,
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,
+    "op6_cover_tree": op6_cover_tree,
     "op7_html": op7_html,
     "op10_sharding": op10_sharding,
 }
