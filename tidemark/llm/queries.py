@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cover_tree, html_text, language, ngram_join, packing, pieces, secrets, sharding
+from tidemark.llm import bit_sliced, cover_tree, html_text, language, ngram_join, packing, pieces, secrets, sharding
 
 SHARDS = 24
 BYTE_BPE = "byte_bpe_50k.json"
@@ -77,6 +77,11 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return bit_sliced.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -94,5 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_cover_tree": op6_cover_tree,
     "op7_html": op7_html,
+    "op9_bit_sliced": op9_bit_sliced,
     "op10_sharding": op10_sharding,
 }
