@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bit_sliced, cover_tree, html_text, language, ngram_join, packing, pieces, secrets, sharding
+from tidemark.llm import bit_sliced, cover_tree, html_text, language, ngram_join, packing, pieces, secrets, sharding, warc
 
 SHARDS = 24
 BYTE_BPE = "byte_bpe_50k.json"
@@ -77,6 +77,25 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    date = F.date_format(F.timestamp_seconds(F.lit(1_577_836_800) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    made = warc.derivatives(warc.page_responses(pages, "url", "html", date, F.col("page_id")), "key")
+    return made.select(
+        F.col("key").alias("page_id"),
+        "record_type",
+        "record_id",
+        F.col("headers")["WARC-Refers-To"].alias("refers_to"),
+        "target_uri",
+        "date",
+        F.col("headers")["WARC-Source-Payload-Digest"].alias("source_payload_digest"),
+        F.col("headers")["WARC-Block-Digest"].alias("block_digest"),
+        F.col("headers")["X-Source-Content-Type"].alias("source_content_type"),
+        F.octet_length("block").cast("long").alias("content_length"),
+        F.crc32("block").alias("block_crc32"),
+    )
+
+
 def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return bit_sliced.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -99,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_cover_tree": op6_cover_tree,
     "op7_html": op7_html,
+    "op8_warc": op8_warc,
     "op9_bit_sliced": op9_bit_sliced,
     "op10_sharding": op10_sharding,
 }
