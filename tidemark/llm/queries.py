@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer_path(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -28,15 +28,19 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def pack_digests(docs: DataFrame, path: str) -> DataFrame:
+    """The pieces of all documents in their windows, ids being given by their crc32."""
+    cut = packing.tokenize(docs, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenize(_table(spark, sf_dir, "documents"), _tokenizer_path(BYTE_BPE))
-    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack_digests(_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    path = _tokenizer_path(PIECE_BPE)
+    path = tokenizer_path(PIECE_BPE)
     coded = pieces.decode(pieces.encode(docs, path), path)
     return coded.select(
         "doc_id",
