@@ -5,7 +5,8 @@ signature of TREES x DEPTH values gives each class a label of DEPTH values in ea
 TREES prefix tries; two classes are candidates where they share a prefix in some tree.
 The search begins with whole labels. From the similarity s that signatures show for the
 candidates found, 1 / (1 - (1 - s^depth)^TREES) estimates how many links there are for
-each one found; while the share found is below the target, prefixes are shortened.
+each one found; while the share found is below the target, prefixes are shortened to the
+greatest depth at which the estimate reaches it, or any link at the threshold would.
 Candidates whose signatures agree far too little are let go. The others are gathered
 into clusters, and within each all texts are compared exactly, so what the signatures
 say decides nothing but where to look.
@@ -185,7 +186,8 @@ def _candidates(depth: int, least: float, threshold: float) -> Callable[[np.ndar
         side = table.column("side").to_numpy()
         a: list[int] = []
         b: list[int] = []
-        found = missed = 0.0
+        # Weights of the links found, by the depth at which they would be found, and at 0 of all that there are.
+        expected = np.zeros(depth + 1)
 
         def compare(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             same = signs[i] == signs[j]
@@ -194,10 +196,11 @@ def _candidates(depth: int, least: float, threshold: float) -> Callable[[np.ndar
             return share, np.maximum(trees, 1)
 
         def note(share: np.ndarray, trees: np.ndarray) -> None:
-            nonlocal found, missed
             linked = share >= threshold
-            found += (1.0 / trees[linked]).sum()  # a pair is met once in each tree that it shares
-            missed += ((1.0 / found_share(share[linked], depth) - 1.0) / trees[linked]).sum()
+            each = 1.0 / trees[linked] / found_share(share[linked], depth)  # a pair is met once in each tree that it shares
+            expected[0] += each.sum()
+            for d in range(1, depth + 1):
+                expected[d] += (each * found_share(share[linked], d)).sum()
 
         small = np.flatnonzero(size <= 32)
         for k in range(1, int(size[small].max()) if len(small) else 0):
@@ -222,7 +225,8 @@ def _candidates(depth: int, least: float, threshold: float) -> Callable[[np.ndar
             for x, y in _forest(near):
                 a.append(int(ids[rows[x]]))
                 b.append(int(ids[rows[y]]))
-        return {"a": [*a, None], "b": [*b, None], "found": [*[0.0] * len(a), float(found)], "missed": [*[0.0] * len(a), float(missed)]}
+        none = [None] * len(expected)
+        return {"a": a + none, "b": b + none, "depth": [None] * len(a) + list(range(len(expected))), "links": [None] * len(a) + expected.tolist()}
 
     return run
 
@@ -307,21 +311,26 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
-    for depth in range(DEPTH, 0, -1):
+    depth, enough = DEPTH, max((d for d in range(1, DEPTH + 1) if found_share(threshold, d) >= target), default=1)
+    while True:
         label = F.xxhash64("_t", F.expr(f"substring(signature, _t * {2 * DEPTH} + 1, {2 * depth})"))
         nodes = classes.select("cid", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("_t")).select("cid", label.alias("node"))
         counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         dealt = _dealt(nodes.join(counts, "node"), "node", "members", "cid", BLOCK)
         dealt = dealt.select("unit", "cid", "side", "two").join(classes.select("cid", "signature"), "cid")
-        seen = materialize(_map_groups(dealt, "unit", _candidates(depth, least, threshold), "a long, b long, found double, missed double"), "candidates")
-        found, missed = (x or 0.0 for x in seen.agg(F.sum("found"), F.sum("missed")).first())
-        if found >= target * (found + missed) or found_share(threshold, depth) >= target:
+        seen = materialize(_map_groups(dealt, "unit", _candidates(depth, least, threshold), "a long, b long, depth int, links double"), "candidates")
+        expected = {d: n for d, n in seen.where("a is null").groupBy("depth").agg(F.sum("links")).collect()}
+        reached = [d for d in range(enough, depth + 1) if expected.get(d, 0.0) >= target * expected.get(0, 0.0)]
+        if depth in (enough, *reached):
             break
+        depth = max(reached, default=enough)
 
     clusters = components(seen.select("a", "b")).withColumnRenamed("node", "cid")
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     members = clusters.join(sizes, "component").join(classes.drop("signature"), "cid")
-    members = materialize(members, "members").join(rows.where(F.col("doc").isNotNull()), F.col("rid") == F.col("doc"))
+    # Always a shuffled join: the members grow with the input, and no size of theirs changes the plan.
+    texts = rows.where(F.col("doc").isNotNull()).hint("merge")
+    members = materialize(members, "members").join(texts, F.col("rid") == F.col("doc"))
     dealt = _dealt(members, "component", "members", "cid", BLOCK // 2).select("unit", "cid", "side", "two", "copies", "grams", "text")
     verified = materialize(_map_groups(dealt, "unit", _verified(threshold), "a long, b long, links long"), "links")
 
