@@ -1,0 +1,73 @@
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import bloom, encoding, varint
+
+NUMBERS = [0, 1, 127, 128, 255, 300, 16383, 16384, 2**32 - 1, 2**56, 2**63 - 1]
+
+
+def test_varint_round_trip_and_sizes(spark):
+    rows = spark.createDataFrame([(n,) for n in NUMBERS], "n long")
+    found = rows.select("n", varint.length(F.col("n")).alias("l"), varint.encode(F.col("n")).alias("b")).withColumn("back", varint.decode(F.col("b"))).collect()
+    for r in found:
+        assert len(r.b) == r.l == max(1, -(-r.n.bit_length() // 7))
+        assert r.back == r.n
+
+
+def test_varint_negative_counts_as_unsigned(spark):
+    r = spark.range(1).select(varint.encode(F.lit(-1).cast("long")).alias("b")).withColumn("back", varint.decode(F.col("b"))).first()
+    assert len(r.b) == 10 and r.back == -1
+
+
+def test_varint_cut_off_or_too_long_is_null(spark):
+    rows = spark.createDataFrame([(bytearray(b),) for b in (b"", b"\x80", b"\x80" * 11 + b"\x01", b"\x05rest")], "b binary")
+    assert [r[0] for r in rows.select(varint.decode(F.col("b"))).collect()] == [None, None, None, 5]
+
+
+@pytest.mark.parametrize(("n", "p", "m", "k"), [(100_000, 0.01, 958506, 7), (41943, 0.01, 402027, 7), (1000, 0.1, 4793, 4), (100, 0.01, 959, 7)])
+def test_bloom_sizing(spark, n, p, m, k):
+    assert bloom.parameters(n, p) == (k, m)
+    kc, mc = bloom.parameter_columns(F.lit(n), F.lit(p))
+    assert tuple(spark.range(1).select(kc, mc).first()) == (k, m)
+
+
+def test_bloom_members_and_false_positives(spark):
+    members = spark.range(1000).select(F.lit(1).alias("g"), F.concat(F.lit("key"), F.col("id").cast("string")).alias("key"))
+    built = bloom.build(members, ["g"], "key", 0.1)
+    hit = bloom.contains(F.col("key"), F.col("k"), F.col("m"), F.col("words"))
+    assert members.join(built, "g").where(~hit).count() == 0
+    probes = spark.range(1000, 11000).select(F.lit(1).alias("g"), F.concat(F.lit("key"), F.col("id").cast("string")).alias("key"))
+    assert probes.join(built, "g").where(hit).count() < 1500
+    row = built.first()
+    data = bloom.to_bytes(row.k, row.m, row.words)
+    k, m, words = bloom.from_bytes(data)
+    assert (k, m) == (row.k, row.m) and words == {w: v & (2**64 - 1) for w, v in row.words.items()}
+    assert bloom.from_bytes(data[:11]) is None
+
+
+def test_record_bytes(spark):
+    rows = spark.createDataFrame([(1, 1, bytearray(b"k"), bytearray(b"v")), (2, 2**40, bytearray(b""), bytearray(b""))], "op int, seq long, key binary, value binary")
+    found = rows.select(encoding.record(F.col("op"), F.col("seq"), F.col("key"), F.col("value")).alias("r")).withColumn("p", encoding.parse_record(F.col("r"))).collect()
+    assert len(found[0].r) == 17 and found[0].r[0] == 1
+    assert [tuple(r.p) for r in found] == [(1, 1, b"k", b"v"), (2, 2**40, b"", b"")]
+
+
+def test_bad_records_are_null(spark):
+    good = bytes([1]) + (1).to_bytes(8, "little") + b"\x01\x00k" + b"\x01\x00\x00\x00v"
+    rows = spark.createDataFrame([(bytearray(b),) for b in (good[:14], good[:16], b"\x03" + good[1:], good)], "r binary")
+    assert [r[0] is None for r in rows.select(encoding.parse_record(F.col("r"))).collect()] == [True, True, True, False]
+
+
+def test_chunk_bytes(spark):
+    payload = b"x" * 100
+    data = spark.range(1).select(encoding.chunk_bytes(F.lit(1), F.lit(bytearray(payload)))).first()[0]
+    assert len(data) == 107 and data[6] == 1 and int.from_bytes(data[:4], "little") == zlib.crc32(b"\x01" + payload)
+
+
+def test_shared_prefix_and_lossy_text(spark):
+    pairs = [(b"apple", b"appstore", 3), (b"", b"a", 0), (None, b"a", 0), (b"ab", b"abc", 2), (b"b", b"a", 0)]
+    rows = spark.createDataFrame([(a if a is None else bytearray(a), bytearray(b)) for a, b, _ in pairs], "a binary, b binary")
+    assert [r[0] for r in rows.select(encoding.shared_prefix(F.col("a"), F.col("b"))).collect()] == [n for *_, n in pairs]
+    assert spark.range(1).select(encoding.text(F.lit(bytearray(b"a\xffb")))).first()[0] == "a�b"

@@ -47,9 +47,9 @@ class State:
     next_seq: int = 1
     next_run: int = 1
     next_log: int = 1
-    logs: list[int] = field(default_factory=list)
+    logs: list[str] = field(default_factory=list)
     runs: list[dict] = field(default_factory=list)
-    batches: dict[str, int] = field(default_factory=dict)
+    batches: dict[str, str] = field(default_factory=dict)
 
 
 class Conflict(RuntimeError):

@@ -1,7 +1,7 @@
 """A persistent, versioned key-value table: batches go to a log, are flushed to sorted runs and merged by level.
 
-    root/log/log_no=N/              changes not yet flushed, one folder a batch
-    root/runs/level=L/run_id=R/     Parquet sorted by key, one version of each key
+    root/log/log_no=N-MARK/         changes not yet flushed, one folder a batch
+    root/runs/level=L/run_id=R-MARK/ Parquet sorted by key, one version of each key
     root/_manifest/NNNNNNNNNNNN.json  one file a commit; the newest says what is live
 
 Data is written first and published by one manifest file, so a crash leaves files that
@@ -10,6 +10,7 @@ no one reads (vacuum() deletes them) and never half a change.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
@@ -32,15 +33,18 @@ class Table:
     def __init__(self, spark: SparkSession, root: str, buffer_bytes: int = schema.BUFFER_BYTES, l0_runs: int = schema.L0_RUNS, l1_bytes: int = schema.L1_BYTES, ratio: int = schema.LEVEL_RATIO, bloom: bool = True) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self.buffer_bytes, self.l0_runs, self.l1_bytes, self.ratio, self.bloom = buffer_bytes, l0_runs, l1_bytes, ratio, bloom
+        self.mark = uuid.uuid4().hex[:12]
         self.state = manifest.read(spark, self.root)
 
     # Paths
 
-    def _log(self, number: int) -> str:
-        return f"{self.root}/log/log_no={number}"
+    # Names hold a writer's own mark: what a writer that loses a commit has written is never another's.
+
+    def _log(self, name: str) -> str:
+        return f"{self.root}/log/log_no={name}"
 
     def _run(self, run: dict) -> str:
-        return f"{self.root}/runs/level={run['level']}/run_id={run['run_id']}"
+        return f"{self.root}/runs/level={run['level']}/run_id={run['run_id']}-{run['mark']}"
 
     # Writes
 
@@ -76,18 +80,18 @@ class Table:
         value = F.when(op == schema.DELETE, F.lit(b"")).otherwise(value)
         first = self.state.next_seq
         log = rows.select(op.cast("byte").alias("op"), (F.col(order).cast("long") + first).alias("seq"), key.alias("key"), value.alias("value"))
-        number = self.state.next_log
-        log.write.mode("overwrite").parquet(self._log(number))
-        written = self.spark.read.schema(schema.CHANGELOG).parquet(self._log(number))
+        name = f"{self.state.next_log}-{self.mark}"
+        log.write.mode("overwrite").parquet(self._log(name))
+        written = self.spark.read.schema(schema.CHANGELOG).parquet(self._log(name))
         low, high = written.agg(F.min("seq"), F.max("seq")).first()
         if low is None:
             return
         if low < first:
             raise ValueError("the order of a batch must not be negative")
-        self.state.logs.append(number)
-        self.state.next_log, self.state.next_seq = number + 1, high + 1
+        self.state.logs.append(name)
+        self.state.next_log, self.state.next_seq = self.state.next_log + 1, high + 1
         if batch_id is not None:
-            self.state.batches[batch_id] = number
+            self.state.batches[batch_id] = name
         self._commit()
         if self._unflushed_bytes() >= self.buffer_bytes:
             self.flush()
@@ -112,7 +116,7 @@ class Table:
         return self.spark.read.schema(schema.CHANGELOG).parquet(*[self._log(n) for n in self.state.logs])
 
     def _write_run(self, rows: DataFrame, level: int) -> dict | None:
-        run = {"level": level, "run_id": self.state.next_run}
+        run = {"level": level, "run_id": self.state.next_run, "mark": self.mark}
         path = self._run(run)
         writer = run_operators.sorted_run(rows.select("key", "value"), "key").write.mode("overwrite")
         if self.bloom:
@@ -136,8 +140,8 @@ class Table:
         if run:
             self.state.runs.append(run)
         self._commit()
-        for number in done:
-            files.delete(self.spark, self._log(number))
+        for name in done:
+            files.delete(self.spark, self._log(name))
 
     def compact(self) -> None:
         """Merge levels that are over their limit into the next one, upward."""
