@@ -1,0 +1,23 @@
+"""The rest works without this part."""
+
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def test_the_rest_imports_without_the_llm_folders(tmp_path):
+    for name in ("tidemark", "__spark_entry__.py", "bench.py"):
+        source = ROOT / name
+        shutil.copytree(source, tmp_path / name) if source.is_dir() else shutil.copy(source, tmp_path / name)
+    shutil.rmtree(tmp_path / "tidemark" / "llm")
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op1') or n == 'pipeline' for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_nothing_else_imports_it():
+    for path in (ROOT / "tidemark").rglob("*.py"):
+        if "llm" not in path.relative_to(ROOT).parts:
+            assert "tidemark.llm" not in path.read_text(), path

@@ -1,0 +1,114 @@
+import struct
+import zlib
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tidemark.llm import packing, queries
+
+SF = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    return lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def _ids(data):
+    return list(struct.unpack(f"<{len(data) // 4}I", data))
+
+
+def test_ids_are_the_librarys(spark, library):
+    encoder = packing.Encoder(PATH)
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert _ids(encoder.encode(r.text)) == library(r.text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab Ab'sé1 \n\t.,!  x字<|>\x1c\x85\xa0"), max_size=60))
+def test_ids_of_odd_texts(text):
+    tokenizer = test_ids_of_odd_texts.__dict__.setdefault("t", Tokenizer.from_file(PATH))
+    tokenizer.encode_special_tokens = True
+    encoder = test_ids_of_odd_texts.__dict__.setdefault("e", packing.Encoder(PATH))
+    assert _ids(encoder.encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_cache_may_overflow(library, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 3)
+    encoder = packing.Encoder(PATH)
+    text = "one two, three four. five six\nseven eight! one two nine" * 3
+    assert _ids(encoder.encode(text)) == library(text)
+
+
+def _check(rows, tokens, window):
+    """Every id in exactly one piece, sequences without gaps and within the window."""
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == set(tokens)
+    for doc, pieces in by_doc.items():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at and r.length > 0 and r.doc_tokens == len(tokens[doc])
+            assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *tokens[doc][at : at + r.length]))
+            at += r.length
+        assert at == len(tokens[doc])
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= window
+    return len(by_sequence)
+
+
+def test_query_against_brute_force(spark, library):
+    tokens = {r.doc_id: [*library(r.text or ""), 1] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sequences = _check(queries.op2_packing(spark, SF).collect(), tokens, 2048)
+    total = sum(map(len, tokens.values()))
+    assert sequences <= -(-total // 2048) * 1.03 + 1
+
+
+def test_several_groups(spark, library):
+    docs = spark.createDataFrame([(i, "some words here " * (i % 90)) for i in range(300)], "doc_id long, text string")
+    tokens = {r.doc_id: [*library(r.text), 1] for r in docs.collect()}
+    from pyspark.sql import functions as F
+
+    pieces = packing.tokenize(docs, PATH, window=64, piece=8).withColumn("ids_crc32", F.crc32("ids"))
+    rows = packing.pack(pieces, window=64, group_windows=16).collect()
+    sequences = _check(rows, tokens, 64)
+    assert sequences <= 1.1 * sum(map(len, tokens.values())) / 64
+
+
+def test_edges(spark):
+    docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (1, "again", 5)], "doc_id long, text string, offset int")
+    rows = packing.pack(packing.tokenize(docs, PATH)).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == [(1, 1), (1, 2), (2, 1)] and sorted(r.offset for r in rows)[0] == 0
+    assert packing.pack(packing.tokenize(docs.limit(0), PATH)).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 99)], "doc_id long, length long"), window=64)
+
+
+def test_differencing_balances():
+    assert sorted(sum([8, 7, 6, 5, 4][i] for i in w) for w in packing.differencing([8, 7, 6, 5, 4], 2)) == [14, 16]  # Karmarkar and Karp's example
+    sums = [sum(w) for w in packing.differencing([1] * 12, 4)]
+    assert len(sums) == 4 and packing.differencing([], 3) == []
+    sizes = [(i * 7919) % 255 + 1 for i in range(600)]
+    found = packing.differencing(sizes, 16)
+    assert sorted(i for w in found for i in w) == list(range(600))
+    totals = [sum(sizes[i] for i in w) for w in found]
+    assert max(totals) - min(totals) <= 8
+
+
+def test_window_count_rises_with_capacity():
+    assert len(packing.fill([6, 6, 6], 10)) == 3
+    assert len(packing.fill([5, 5, 5, 5], 10)) == 2
+    assert all(sum([9, 9, 9, 1, 1][i] for i in w) <= 10 for w in packing.fill([9, 9, 9, 1, 1], 10))

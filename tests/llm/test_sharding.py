@@ -1,0 +1,60 @@
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from tidemark.llm import queries, sharding
+
+SF = "/root/testdata/sf0.001"
+
+
+def _brute(key, weights):
+    def score(i):
+        u = (int(hashlib.md5(f"{'null' if key is None else key}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+        return -weights[i] / math.log(u)
+
+    return max(range(len(weights)), key=lambda i: (score(i), -i))
+
+
+def test_query_against_brute_force(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op10_sharding(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(data) + 8, zlib.crc32(data), "key")
+        assert r.shard == _brute(r.doc_id, [1.0] * 24) and r.grown_shard == _brute(r.doc_id, [1.0] * 25)
+        assert r.grown_shard in (r.shard, 24)
+    for shard in range(24):
+        held = sorted((r for r in rows if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in held] == list(range(len(held)))
+        assert [r.doc_id for r in held] == sorted(r.doc_id for r in held)
+
+
+def test_weights_and_growth(spark):
+    keys = spark.range(4000)
+    found = sharding.assign_shard(keys, "id", [1.0, 1.0, 2.0], grown="more").collect()
+    count = Counter(r.shard for r in found)
+    assert abs(count[2] - 2000) < 150 and abs(count[0] - 1000) < 150
+    moved = [r for r in found if r.more != r.shard]
+    assert all(r.more == 3 for r in moved) and abs(len(moved) - 800) < 150
+    assert all(r.shard == _brute(r.id, [1.0, 1.0, 2.0]) for r in found[:300])
+
+
+def test_nulls_repeats_clashing_names_and_empty(spark):
+    rows = spark.createDataFrame([(None, "a"), (7, "b"), (7, "b"), (7, None)], "id long, shard string")
+    placed = sharding.assign_shard(rows, "id", [1.0] * 4, out="place")
+    assert placed.columns == ["id", "shard", "place"] and placed.where("id = 7").select("place").distinct().count() == 1
+    slots = sharding.number_slots(placed.select("id", "place"), "place", ["id"])
+    for shard in {r.place for r in slots.collect()}:
+        held = sorted(r.slot for r in slots.where(F.col("place") == shard).collect())
+        assert held == list(range(len(held)))
+    assert slots.count() == 4
+    assert sharding.number_slots(placed.select("id", "place").limit(0), "place", ["id"]).count() == 0
+
+
+def test_slots_of_a_hot_key(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("id"), F.lit(0).alias("shard"))
+    assert sorted(r.slot for r in sharding.number_slots(rows, "shard", ["id"]).collect()) == list(range(1000))
