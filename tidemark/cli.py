@@ -16,15 +16,12 @@ from tidemark.table import Table
 
 # Commands and their other names.
 ALIASES = {"put": "put", "set": "put", "update": "put", "get": "get", "delete": "delete", "remove": "delete", "rm": "delete", "del": "delete", "clear": "clear", "help": "help", "exit": "exit", "quit": "exit"}
-HELP = """Commands:
-  put <key> <value>            Insert or update a key
-  get <key>                    Retrieve a value by key
-  delete <key>                 Soft-delete a key (tombstone)
-  clear                        Destroy all data in the database
-  help                         Show this message
-  exit                         Quit
-
-  Note: put, set, update are aliases. delete, remove, rm, del are aliases."""
+HELP = """put KEY VALUE   write a row (also: set, update); the value may hold spaces
+get KEY         show the newest value, (nil) if there is none
+delete KEY      write a tombstone (also: remove, rm, del)
+clear           remove all rows, after a question
+help            this list
+exit            leave (also: quit)"""
 
 
 def parse(line: Column) -> Column:
@@ -92,18 +89,18 @@ def execute(table: Table, line: str, confirm=input) -> str | None:
         table.remove(rest[0])
         return f"OK {rest[0]} {spent()}"
     if command == "clear":
-        if confirm("This will destroy ALL data. Confirm? [y/N] ").strip().lower() != "y":
-            return "Aborted."
+        if confirm("All rows will be removed. Go on? [y/N] ").strip().lower() != "y":
+            return "Nothing was removed."
         table.clear()
-        return "Database wiped."
-    return f"unknown command: '{name.lower()}'\nType 'help' for a list of commands."
+        return "All rows are removed."
+    return f"no such command: {name.lower()} (help lists them)"
 
 
 def main(arguments: list[str]) -> None:
     folder = arguments[0] if arguments else str(Path.home() / ".tidemark")
     spark = SparkSession.builder.appName("tidemark").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     table = Table(spark, folder)
-    print(f"tidemark\n  db path: {folder}\n\nType 'help' for commands. 'exit' to quit.\n")
+    print(f"tidemark, table {folder} (help lists the commands)")
     while True:
         try:
             said = execute(table, input("tidemark> "))
@@ -113,7 +110,6 @@ def main(arguments: list[str]) -> None:
         except Exception as e:  # a failed command doesn't end the prompt
             said = f"error: {e}"
         if said is None:
-            print("Goodbye!")
             return
         if said:
             print(said)
