@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,7 +24,7 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return _own_dirs[app]
