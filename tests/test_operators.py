@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schema
@@ -94,6 +95,17 @@ def test_packed_blocks_round_trip(spark):
     assert blocks.find(bytes(hit.data), b"key0250") == b"value0250" * (1 + 250 % 9)
 
 
+@pytest.mark.parametrize("fanout", [64, 3])
+def test_index_seek_down_a_tree(spark, monkeypatch, fanout):
+    monkeypatch.setattr(lookup, "FANOUT", fanout)
+    entries = [(r, 2 * b, f"k{b * 10:04d}") for r in (1, 2) for b in range(40)]  # block numbers have gaps
+    index = spark.createDataFrame(entries, "run_id long, block_no long, last_k string")
+    probes = spark.createDataFrame([(r, f"k{i:04d}") for r in (1, 2) for i in range(0, 400, 7)], "run_id long, k string")
+    for r in lookup.index_seek(probes, index, "run_id", "k", "last_k").collect():
+        want = [b for run, b, last in entries if run == r.run_id and last >= r.k]
+        assert r.block_no == (min(want) if want else None)
+
+
 def test_index_seek(spark):
     index = spark.createDataFrame([(1, 0, "c"), (1, 1, "f")], "run_id long, block_no long, last_k string")
     probes = spark.createDataFrame([(1, "a"), (1, "c"), (1, "d"), (1, "z"), (2, "a")], "run_id long, k string")

@@ -9,9 +9,10 @@ import sys
 import time
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.runs import running_total
 from tidemark.table import Table
 
 # Commands and their other names.
@@ -48,17 +49,12 @@ def run_script(script: DataFrame, line_no: str = "line_no", line: str = "line")
     # One row: the first exit, or null.
     last = rows.where("command = 'exit'").agg(F.min("line_no").alias("_end"))
     rows = rows.join(F.broadcast(last), F.col("_end").isNull() | (F.col("line_no") < F.col("_end"))).drop("_end")
-    from pyspark.sql import Window
-
-    clears = rows.where("command = 'clear'").select(F.col("line_no").alias("cleared"))
-    asked = rows.where("command = 'get'").select("line_no", "key")
-    changes = rows.where("command IN ('put', 'delete')").select("line_no", "key", F.when(F.col("command") == "put", F.col("value")).otherwise("").alias("v"))
-    # A clear is a tombstone of every key that the script names.
-    wiped = rows.where("key IS NOT NULL").select("key").distinct().crossJoin(clears).select(F.col("cleared").alias("line_no"), "key", F.lit("").alias("v"))
-    merged = changes.unionByName(wiped).withColumn("ask", F.lit(False)).unionByName(asked.withColumn("v", F.lit(None).cast("string")).withColumn("ask", F.lit(True)))
-    before = Window.partitionBy("key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    answered = merged.withColumn("value", F.last("v", ignorenulls=True).over(before)).where("ask")
-    return answered.select("line_no", "key", F.when(F.col("value") != "", F.col("value")).alias("value"))
+    # A change is seen by gets of its key up to the next clear: the clears before a line say which part it is in.
+    rows = running_total(rows, "line_no", F.when(F.col("command") == "clear", 1).otherwise(0), "part")
+    change = F.when(F.col("command") == "put", F.col("value")).when(F.col("command") == "delete", "")
+    before = Window.partitionBy("key", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.where("command IN ('put', 'delete', 'get')").withColumn("value", F.last(change, ignorenulls=True).over(before))
+    return rows.where("command = 'get'").select("line_no", "key", F.when(F.col("value") != "", F.col("value")).alias("value"))
 
 
 def execute(table: Table, line: str, confirm=input) -> str | None:
