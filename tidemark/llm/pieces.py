@@ -15,10 +15,12 @@ of scores would be another segmentation than the model's own.)
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 from codecs import getincrementaldecoder
 from itertools import chain
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ from tidemark.llm._common import append_columns
 
 SPACE = "▁"
 #: Words and pairs of pieces that a worker keeps at most.
-CACHE = 400_000
+CACHE = 300_000
 _LONGEST_KEPT = 40
 #: Characters after which paths are traced back.
 _TRACE = 64
@@ -66,7 +68,11 @@ class Vocabulary:
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         #: Neighbouring characters inside pieces: every path has a boundary between any others.
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.known: dict[tuple[str, str], bool] = {}
+        #: Ends of pieces, and whether they are pieces: looking back may stop at what no piece ends with.
+        self.ends = dict.fromkeys((p[i:] for p in self.ids for i in range(1, len(p))), False) | dict.fromkeys(self.ids, True)
+        #: What fits() has found, by the piece before.
+        self.rows: dict[str, dict[str, bool]] = {}
+        self.known = 0
 
     def merge(self, text: str) -> list[str]:
         """The model's pieces of a short text: the best-scored neighbours merge first, the left ones on ties."""
@@ -82,18 +88,45 @@ class Vocabulary:
                 scores[at] = score(parts[at] + parts[at + 1], none)
         return parts
 
+    def row(self, before: str) -> dict[str, bool]:
+        """What is known of the boundaries behind a piece."""
+        if (found := self.rows.get(before)) is None:
+            found = self.rows[before] = {}
+        return found
+
     def fits(self, before: str, piece: str) -> bool:
         """Whether the model would leave this boundary alone; before may be empty."""
-        key = (before, piece)
-        if (known := self.known.get(key)) is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            known = self.known[key] = self.merge(before + piece) == ([before, piece] if before else [piece])
-        return known
+        if self.known >= CACHE:
+            for row in self.rows.values():  # survivors hold rows, which stay in use
+                row.clear()
+            self.known = 0
+        self.known += 1
+        found = self.row(before)[piece] = self.merge(before + piece) == ([before, piece] if before else [piece])
+        return found
+
+    def survivors(self, text: str, last: list[str], rows: list[dict[str, bool]]) -> None:
+        """Extend `last`, the survivors at the first positions of text, to all positions; rows are theirs."""
+        ends, fits = self.ends.get, self.fits
+        for end in range(len(last), len(text) + 1):
+            found = [(end - 1, text[end - 1])]  # a character that is no piece stands for its bytes
+            for begin in range(end - 2, -1, -1):
+                if (whole := ends(piece := text[begin:end])) is None:
+                    break
+                if whole:
+                    found.append((begin, piece))
+            for begin, piece in reversed(found):
+                fit = rows[begin].get(piece)
+                if fits(last[begin], piece) if fit is None else fit:
+                    last.append(piece)
+                    rows.append(self.row(piece))
+                    break
 
     def ids_of(self, pieces: list[str]) -> list[int]:
         """Ids; a character that is no piece gives those of its bytes."""
-        return list(chain.from_iterable([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")] for p in pieces))
+        try:
+            return [self.ids[p] for p in pieces]
+        except KeyError:
+            return list(chain.from_iterable([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")] for p in pieces))
 
 
 class StreamingEncoder:
@@ -104,13 +137,14 @@ class StreamingEncoder:
         #: Text since the last boundary given out, and the survivor at each position from there on.
         self.text = ""
         self.last = [""]
+        self.rows = [vocabulary.row("")]
 
     def feed(self, text: str) -> list[int]:
         """Take more text; returns the ids that no further text can change."""
         out: list[int] = []
         for at in range(0, len(text), _TRACE):
             self.text += text[at : at + _TRACE]
-            self._extend()
+            self.vocabulary.survivors(self.text, self.last, self.rows)
             if len(self.text) > self.vocabulary.longest:
                 recent = range(max(0, len(self.text) - self.vocabulary.longest + 1), len(self.text) + 1)
                 out += self._give(self._meet(set(recent)))
@@ -119,18 +153,6 @@ class StreamingEncoder:
     def finish(self) -> list[int]:
         return self._give(len(self.text))
 
-    def _extend(self) -> None:
-        v, text, last = self.vocabulary, self.text, self.last
-        ids, known, fits, longest = v.ids, v.known.get, v.fits, v.longest
-        for end in range(len(last), len(text) + 1):
-            for begin in range(max(0, end - longest), end):
-                piece = text[begin:end]
-                if piece in ids or begin == end - 1:
-                    fit = known((last[begin], piece))
-                    if fits(last[begin], piece) if fit is None else fit:
-                        last.append(piece)
-                        break
-
     def _meet(self, positions: set[int]) -> int:
         """The latest boundary that the paths from all these positions share."""
         while len(positions) > 1:
@@ -140,28 +162,38 @@ class StreamingEncoder:
         return positions.pop()
 
     def _give(self, end: int) -> list[int]:
-        pieces = []
-        at = end
-        while at:
-            pieces.append(self.last[at])
-            at -= len(self.last[at])
+        pieces = trace(self.last, end)
         if end:
-            self.text = self.text[end:]
-            self.last = self.last[end:]
-        return self.vocabulary.ids_of(pieces[::-1])
+            self.text, self.last, self.rows = self.text[end:], self.last[end:], self.rows[end:]
+        return self.vocabulary.ids_of(pieces)
+
+
+def trace(last: list[str], end: int) -> list[str]:
+    """The pieces on the path that survives at a position."""
+    pieces = []
+    while end:
+        pieces.append(last[end])
+        end -= len(last[end])
+    return pieces[::-1]
 
 
 class _Kept(dict):
-    """Ids, as bytes, of short texts, worked out when first asked for."""
+    """Ids, as bytes, of short texts, worked out when first asked for.
+
+    When it is full the entries become the old ones, of which those asked for again return.
+    """
 
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode = encode
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        found = self.encode(text)
+        if (found := self.old.get(text)) is None:
+            found = self.encode(text)
         if len(text) <= _LONGEST_KEPT:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[text] = found
         return found
@@ -174,16 +206,27 @@ class Codec:
         self.words = _Kept(self._word)
 
     def _run(self, text: str) -> bytes:
-        stream = StreamingEncoder(self.vocabulary)
-        ids = stream.feed(text) + stream.finish()
+        v = self.vocabulary
+        if len(text) <= _TRACE:  # the whole of it is in the window
+            last, rows = [""], [v.row("")]
+            v.survivors(text, last, rows)
+            ids = v.ids_of(trace(last, len(text)))
+        else:
+            stream = StreamingEncoder(v)
+            ids = stream.feed(text) + stream.finish()
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _unit(self, text: str) -> bytes:
         """Ids of any text, cut first where all paths must meet."""
         text = text.replace(" ", SPACE)
         inner = self.vocabulary.inner
-        cuts = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inner], len(text)]
-        return b"".join([self.runs[text[a:b]] for a, b in zip(cuts, cuts[1:])])
+        out, begin = [], 0
+        for i, pair in enumerate(map(add, text, text[1:]), 1):
+            if pair not in inner:
+                out.append(self.runs[text[begin:i]])
+                begin = i
+        out.append(self.runs[text[begin:]])
+        return b"".join(out)
 
     def _word(self, word: str) -> bytes:
         if not word:
@@ -219,6 +262,7 @@ _codecs: dict[str, Codec] = {}
 
 def _codec(path: str) -> Codec:
     if path not in _codecs:
+        gc.set_threshold(200_000)  # what is kept has no cycles, and is long to go through
         _codecs[path] = Codec(path)
     return _codecs[path]
 
