@@ -19,6 +19,7 @@ import gc
 import re
 import struct
 from codecs import getincrementaldecoder
+from functools import cached_property
 from itertools import chain
 from operator import add
 
@@ -66,14 +67,20 @@ class Vocabulary:
         self.longest = max(map(len, self.ids), default=1)
         #: No piece goes on past a word: spaces stand before all else in it.
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
-        #: Neighbouring characters inside pieces: every path has a boundary between any others.
-        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        #: Ends of pieces, and whether they are pieces: looking back may stop at what no piece ends with.
-        self.ends = dict.fromkeys((p[i:] for p in self.ids for i in range(1, len(p))), False) | dict.fromkeys(self.ids, True)
         #: What fits() has found, by the piece before.
         self.rows: dict[str, dict[str, bool]] = {}
         self.known = 0
 
+    @cached_property
+    def inner(self) -> set[str]:
+        """Neighbouring characters inside pieces: every path has a boundary between any others."""
+        return {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+
+    @cached_property
+    def ends(self) -> dict[str, bool]:
+        """Ends of pieces, and whether they are pieces: looking back may stop at what no piece ends with."""
+        return dict.fromkeys((p[i:] for p in self.ids for i in range(1, len(p))), False) | dict.fromkeys(self.ids, True)
+
     def merge(self, text: str) -> list[str]:
         """The model's pieces of a short text: the best-scored neighbours merge first, the left ones on ties."""
         parts, score, none = list(text), self.scores.get, float("-inf")
