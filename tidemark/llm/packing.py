@@ -11,6 +11,7 @@ the capacity.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import struct
@@ -28,10 +29,11 @@ PIECE = 256
 #: Windows in a group: so many are balanced together, and about half of one is padding.
 GROUP_WINDOWS = 192
 #: Words whose ids a worker keeps at most.
-CACHE = 400_000
+CACHE = 300_000
 _LONGEST_KEPT = 40
 #: Fixed value: how byte-level BPE of this family splits a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -78,17 +80,25 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.normalizer is not None or not isinstance(tokenizer.pre_tokenizer, ByteLevel) or tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError("a plain byte-level tokenizer is needed")
-        self.model = tokenizer.model
+        self.tokenize = tokenizer.model.tokenize
         self.split = regex.compile(BYTE_LEVEL_PATTERN).findall
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = [b for b in range(256) if b not in set(plain)]
         self.symbol = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+        self.space = self.symbol[32]
         self.known = _Kept(self._word)
         self.parts = _Kept(self._part)
 
     def _ids(self, part: str) -> bytes:
-        found = [t.id for t in self.model.tokenize("".join(map(self.symbol.__getitem__, part.encode())))]
-        return struct.pack(f"<{len(found)}I", *found)
+        if part.isascii() and part[1:].isalpha():  # each byte but a first space is its own symbol
+            part = self.space + part[1:] if part[0] == " " else part if part.isalpha() else self._symbols(part)
+        else:
+            part = self._symbols(part)
+        found = [t.id for t in self.tokenize(part)]
+        return _PACK[len(found)](*found) if len(found) < len(_PACK) else struct.pack(f"<{len(found)}I", *found)
+
+    def _symbols(self, part: str) -> str:
+        return "".join(map(self.symbol.__getitem__, part.encode()))
 
     def _word(self, word: str) -> bytes:
         """Ids of a space and a word; letters, with or without a mark after them, need no split."""
@@ -136,6 +146,7 @@ def tokenize(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(columns: dict[str, list]) -> dict[str, list]:
         if path not in _encoders:
+            gc.set_threshold(200_000)  # what is kept has no cycles, and is long to go through
             _encoders[path] = Encoder(path)
         out: dict[str, list] = {key: [], "start": [], "length": [], "doc_tokens": [], "ids": []}
         for doc, value in zip(columns[key], columns[text], strict=True):
