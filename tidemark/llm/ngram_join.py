@@ -140,7 +140,9 @@ def _map_groups(df: DataFrame, key: str, fn: Callable[[np.ndarray, pa.Table], di
             out = fn(starts, table)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, struct)
+    # So many partitions whatever their bytes: the work is in comparing.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, key).sortWithinPartitions(key).mapInArrow(run, struct)
 
 
 def _dealt(rows: DataFrame, group: str, size: str, member: str, block: int) -> DataFrame:
@@ -242,8 +244,9 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     total = np.zeros((len(sets), len(sets)))
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    width = max(256, (1 << 22) // len(sets))
-    for at in range(0, int(shared.sum()), width):
+    columns = int(shared.sum())
+    width = max(1, min(columns, max(256, (1 << 22) // len(sets))))
+    for at in range(0, columns, width):
         a, b = np.searchsorted(column, [at, at + width])
         bits = np.zeros((len(sets), width), dtype=np.float32)
         bits[owner[a:b], column[a:b] - at] = 1.0
