@@ -12,8 +12,8 @@ into clusters, and within each all texts are compared exactly, so what the signa
 say decides nothing but where to look.
 
 No pairs are emitted: a node of a trie, or a cluster, with more than BLOCK members is
-dealt out as pairs of blocks, and each task returns sums by member and a spanning
-forest of what it found.
+dealt out as pairs of blocks, and each task returns sums by member and edges that
+connect what it found.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ TREES = 20
 DEPTH = 6
 TARGET_RECALL = 0.9999
 #: Members of a trie's node or a cluster that one task compares with as many others.
-BLOCK = 512
+BLOCK = 256
 #: Standard errors by which a signature's similarity may fall short of the threshold.
 SLACK = 5.0
 _WORD = re.compile(r"\w+")
@@ -156,21 +156,25 @@ def _dealt(rows: DataFrame, group: str, size: str, member: str, block: int) -> D
     return rows.withColumn("unit", F.xxhash64(group, pair)).withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).withColumn("two", F.col("_own") != F.col("_other")).drop("_blocks", "_own", "_other")
 
 
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a graph given by its adjacency matrix."""
+def _stars(near: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what a graph connects, given its adjacency matrix: from the smallest id of each part.
+
+    Other units that meet the same part give much the same edges, so few are distinct.
+    """
     left = np.ones(len(near), dtype=bool)
     edges: list[tuple[int, int]] = []
     for root in range(len(near)):
         if not left[root]:
             continue
         left[root] = False
-        todo = [root]
-        while todo:
-            at = todo.pop()
-            new = np.flatnonzero(near[at] & left)
+        part, at = [root], 0
+        while at < len(part):
+            new = np.flatnonzero(near[part[at]] & left)
             left[new] = False
-            todo += new.tolist()
-            edges += [(at, int(x)) for x in new]
+            part += new.tolist()
+            at += 1
+        least = int(ids[part].min())
+        edges += [(least, int(x)) for x in ids[part] if x != least]
     return edges
 
 
@@ -224,9 +228,9 @@ def _candidates(depth: int, least: float, threshold: float) -> Callable[[np.ndar
                 near[r] = share >= least
                 counted = (rows > row) & ((side[rows] != side[row]) | ~cross[row])
                 note(share[counted], trees[counted])
-            for x, y in _forest(near):
-                a.append(int(ids[rows[x]]))
-                b.append(int(ids[rows[y]]))
+            for x, y in _stars(near, ids[rows]):
+                a.append(x)
+                b.append(y)
         none = [None] * len(expected)
         return {"a": a + none, "b": b + none, "depth": [None] * len(a) + list(range(len(expected))), "links": [None] * len(a) + expected.tolist()}
 
@@ -255,7 +259,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(threshold: float) -> Callable[[np.ndarray, pa.Table], dict[str, list]]:
-    """Documents linked to each member by exact comparison of a unit's texts, and a spanning forest of the links."""
+    """Documents linked to each member by exact comparison of a unit's texts, and edges that connect the linked."""
 
     def run(starts: np.ndarray, table: pa.Table) -> dict[str, list]:
         every, all_copies = table.column("cid").to_numpy(), table.column("copies").to_numpy()
@@ -276,13 +280,12 @@ def _verified(threshold: float) -> Callable[[np.ndarray, pa.Table], dict[str, li
             if two[begin]:
                 linked &= side[at, None] != side[None, at]
             links = linked @ all_copies[at]
-            own = every[at].tolist()
-            out["a"] += own
-            out["b"] += [None] * len(own)
+            out["a"] += every[at].tolist()
+            out["b"] += [None] * len(at)
             out["links"] += links.tolist()
-            for x, y in _forest(linked):
-                out["a"].append(own[x])
-                out["b"].append(own[y])
+            for x, y in _stars(linked, every[at]):
+                out["a"].append(x)
+                out["b"].append(y)
                 out["links"].append(0)
         return out
 
@@ -334,7 +337,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     # Always a shuffled join: the members grow with the input, and no size of theirs changes the plan.
     texts = rows.where(F.col("doc").isNotNull()).hint("merge")
     members = materialize(members, "members").join(texts, F.col("rid") == F.col("doc"))
-    dealt = _dealt(members, "component", "members", "cid", BLOCK // 2).select("unit", "cid", "side", "two", "copies", "grams", "text")
+    dealt = _dealt(members, "component", "members", "cid", BLOCK).select("unit", "cid", "side", "two", "copies", "grams", "text")
     verified = materialize(_map_groups(dealt, "unit", _verified(threshold), "a long, b long, links long"), "links")
 
     links = verified.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
