@@ -29,7 +29,7 @@ PIECE = 256
 #: Windows in a group: so many are balanced together, and about half of one is padding.
 GROUP_WINDOWS = 192
 #: Words whose ids a worker keeps at most.
-CACHE = 300_000
+CACHE = 500_000
 _LONGEST_KEPT = 40
 #: Fixed value: how byte-level BPE of this family splits a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
