@@ -41,7 +41,7 @@ BLOCK = 256
 #: Standard errors by which a signature's similarity may fall short of the threshold.
 SLACK = 5.0
 _WORD = re.compile(r"\w+")
-_CACHE = 500_000
+_CACHE = 150_000
 _STEP = 1 << 14
 _MULTIPLIERS = (np.random.default_rng(20).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, NGRAM - 1 - i, 1 << 64)) for i in range(NGRAM)]
