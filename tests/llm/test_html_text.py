@@ -51,3 +51,12 @@ def test_long_pages_are_read_whole():
     page = "<article>" + "".join(f"<p>Paragraph {i}, with text.</p>" for i in range(20_000)) + "</article>"
     text = html_text.main_text(page)
     assert text.count("\n\n") == 19_999 and text.endswith("Paragraph 19999, with text.")
+
+
+def test_ratios_decide_beside_an_article_and_in_it():
+    body = "".join(f"<p>{LONG} {i}</p>" for i in range(6))
+    links = "".join(f"<li><a href=x>Another page {i}</a></li>" for i in range(8))
+    text = "\n\n".join(f"{LONG} {i}" for i in range(6))
+    assert html_text.main_text(f"<main><h2>Head</h2>{body}<div><ul>{links}</ul></div></main>") == f"Head\n\n{text}"
+    assert html_text.main_text(f"<div><div>{body}</div></div><article><h3><a href=x>Teaser</a></h3><p>More.</p></article>").startswith(text)
+    assert html_text.main_text(f"<article><div><h2>Head</h2></div><section>{body}</section><section><ul><li>one<li>two</ul></section></article>") == f"Head\n\n{text}\n\none\n\ntwo"

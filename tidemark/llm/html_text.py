@@ -4,8 +4,10 @@ A page is read into blocks: runs of text between the edges of block elements, ea
 with its root-to-leaf path of tags and classes. For each path the text length and
 punctuation per block are aggregated (less linked text), the two are fused, the values
 are smoothed over the blocks in page order, and paths that stay above a share of the
-page's mean are content. What stands beside content under the same parent (headings,
-lists, short lines) is content too; a page's article or main element bounds it.
+page's mean are content, inside an article or main element and outside; such an element
+raises the values of its paths. What stands beside content under the same parent, or in
+the article that holds it (headings, lists, short lines), is content too unless most of
+it is linked.
 Menus, headers, footers, sidebars, notices, adverts, forms and comments are left out
 by their element, role or class, whatever their ratios.
 """
@@ -38,6 +40,8 @@ _NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor
 #: Smoothing weights over neighbouring blocks, and the share of the mean value that content must reach.
 KERNEL = (0.25, 0.5, 0.25)
 SHARE = 0.3
+#: What the ratios of a path in an article or main element are multiplied by.
+ARTICLE = 1.5
 
 
 @dataclass
@@ -167,17 +171,16 @@ def select(found: list[Block], last: dict[int, int]) -> list[bool]:
     marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in found], dtype=float)
     nodes = np.bincount(of)
     fused = np.bincount(of, length) / nodes * (1.0 + np.bincount(of, marks) / nodes)
-    row = fused[of]
+    inside = np.array([b.inside for b in found])
+    row = fused[of] * np.where(inside > 0, ARTICLE, 1.0)
     padded = np.concatenate([row[:1], row, row[-1:]])
     smooth = sum(w * padded[i : i + len(row)] for i, w in enumerate(KERNEL))
     value = np.bincount(of, smooth) / nodes
     keep = value[of] >= SHARE * (smooth * length).sum() / max(1.0, length.sum())
-    inside = [b.inside for b in found]
-    if any(inside):  # the article's other blocks are content, what stands outside isn't
-        weight = {a: sum(n for n, i in zip(length, inside) if i == a) for a in set(inside) if a}
-        most = max(weight.values())
-        return [bool(a) and (weight[a] >= SHARE * most or bool(k)) for a, k in zip(inside, keep)]
     holders = {b.container for b, k in zip(found, keep) if k}
+    of_article, place = np.unique(inside, return_inverse=True)
+    held = np.bincount(place, length * keep)
+    holders |= {int(a) for a, n in zip(of_article, held) if a and n and n >= SHARE * held.sum()}  # an article with a fair part of what is kept
     within, end = set(holders), 0
     for c in sorted({b.container for b in found} | holders):  # containers inside a holder hold content too
         if c and c in holders:
