@@ -60,3 +60,19 @@ def test_ratios_decide_beside_an_article_and_in_it():
     assert html_text.main_text(f"<main><h2>Head</h2>{body}<div><ul>{links}</ul></div></main>") == f"Head\n\n{text}"
     assert html_text.main_text(f"<div><div>{body}</div></div><article><h3><a href=x>Teaser</a></h3><p>More.</p></article>").startswith(text)
     assert html_text.main_text(f"<article><div><h2>Head</h2></div><section>{body}</section><section><ul><li>one<li>two</ul></section></article>") == f"Head\n\n{text}\n\none\n\ntwo"
+
+
+@pytest.mark.parametrize("name", ["container has-sidebar", "content-with-sidebar", "no-sidebar", "post-12 post tag-politics", "wrapper navbar-fixed", "layout sidebar"])
+def test_names_of_what_holds_the_page(name):
+    for page in (f'<div class="{name}"><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></div><footer>foot</footer>', f'<div class="{name}"><article><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></article></div>'):
+        assert html_text.main_text(page) == f"Head\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["related-work", "chapter legal"])
+def test_names_of_sections_of_an_article(name):
+    assert html_text.main_text(f'<article><p>{LONG}</p><p>{LONG}</p><section class="{name}"><h2>Head</h2><p>{LONG}</p></section></article>') == f"{LONG}\n\n{LONG}\n\nHead\n\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["sidebar-left", "comment-list", "footer-inner", "related-posts", "site-header", "main-nav", "ad-slot-3", "skip-link"])
+def test_names_of_boilerplate(name):
+    assert html_text.main_text(f'<div><p>{LONG}</p><p>{LONG}</p></div><div class="{name}"><p>{LONG}</p></div>') == f"{LONG}\n\n{LONG}"

@@ -9,13 +9,16 @@ raises the values of its paths. What stands beside content under the same parent
 the article that holds it (headings, lists, short lines), is content too unless most of
 it is linked.
 Menus, headers, footers, sidebars, notices, adverts, forms and comments are left out
-by their element, role or class, whatever their ratios.
+by their element, whatever their ratios, or by the noun of a role, class or id; but names
+leave out no element that holds a chief article or most of the page's unlinked text.
+There, and where a name is in doubt, they lower the values of the paths.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +38,17 @@ CONTENT = frozenset(("article", "main"))
 #: Blocks that hold text and stand in a container.
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption ul ol dl table tbody thead".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Parts of class, id and role values that name what isn't the article.
-_NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|paywall|nav\w*|menu\w*|breadcrumbs?|topbar|masthead|site-?header|page-?header|foot\w*|copyright|legal|sidebars?|side|aside|widgets?|related|recommend\w*|trending|popular|more-?from|share|sharing|social|comments?|commentlist|respond|disqus|replies|reply|login|signup|search|form|toolbar|pagination|pager|tags?|byline-?links|skip-?link|complementary|contentinfo|dialog)(?:$|[\s_-])", re.I)
+#: Parts of names in class, id and role values that say that it isn't the article.
+_NOT_CONTENT = re.compile(r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|paywall|nav\w*|menu\w*|breadcrumbs?|topbar|masthead|siteheader|pageheader|foot\w*|copyright|legal|sidebars?|side|aside|widgets?|related|recommend\w*|trending|popular|morefrom|share|sharing|social|comments?|commentlist|respond|disqus|replies|reply|login|signup|search|form|toolbar|pagination|pager|tags?|bylinelinks?|skiplink|complementary|contentinfo|dialog)")
+_COMMENTS = re.compile(r"(?:comments?|commentlist|respond|disqus|replies)")
+#: Two parts of a name that are one, words that leave a name to the element that it is of, and words after which what stands before still is the noun.
+_JOINED = re.compile(r"(?<![^\W_])(site|page|more|byline|skip)[-_]?(header|from|links?)(?![^\W_])")
+_MODIFIERS = frozenset("has with without no non not is hide show".split())
+_GENERIC = frozenset("area articles bar block body bottom box buttons column container content icons inner items item left links link list main module outer panel posts primary region right row secondary section slot stories text title top unit widget wrap wrapper".split())
+#: Words that are sections of articles too.
+_UNSURE = frozenset(("legal",))
+#: What the values of paths are multiplied by whose names leave it open, or that hold most of the page.
+LOWERED = 0.5
 #: Smoothing weights over neighbouring blocks, and the share of the mean value that content must reach.
 KERNEL = (0.25, 0.5, 0.25)
 SHARE = 0.3
@@ -51,19 +63,42 @@ class Block:
     inside: int
     text: str
     linked: int
+    mark: int = 0
 
 
-def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
-    """The page's blocks outside boilerplate, in order, and the last number inside each element.
+def naming(names: str) -> int:
+    """What class, id and role values say: 0 nothing, 1 perhaps boilerplate, 2 boilerplate, 3 comments.
+
+    A name is boilerplate if its noun, the last part but for numbers and generic words, is.
+    """
+    most = 0
+    for name in _JOINED.sub(r"\1\2", names).split():
+        parts = [p for p in re.split(r"[-_]+", name) if p and not p.isdigit()]
+        if _MODIFIERS.intersection(parts):
+            continue
+        while len(parts) > 1 and parts[-1] in _GENERIC and not _NOT_CONTENT.fullmatch(parts[-1]):
+            parts.pop()
+        if parts and _NOT_CONTENT.fullmatch(parts[-1]) and parts[-1] not in _UNSURE:
+            most = max(most, 3 if _COMMENTS.fullmatch(parts[-1]) else 2)
+        elif any(map(_NOT_CONTENT.fullmatch, parts)):
+            most = max(most, 1)
+    return most
+
+
+def blocks(page: str) -> tuple[list[Block], dict[int, int], dict[int, tuple[int, int]]]:
+    """The page's blocks outside boilerplate elements, in order, the last number inside each element, and the marks.
 
     Elements are numbered as they open. A block has numbers for its path, the container
-    that it stands in (0: the body) and its article (0: none).
+    that it stands in (0: the body), its article (0: none) and the innermost element whose
+    names mark it (0: none). A mark has the number of the marked element around it and what
+    the names say.
     """
     found: list[Block] = []
     paths: dict[tuple[int, str], int] = {}
     last: dict[int, int] = {}
-    # An open element: tag, number of its path, of its container, whether it is boilerplate, its article's number, its own number.
-    stack: list[tuple[str, int, int, bool, int, int]] = [("", 0, 0, False, 0, 0)]
+    marks: dict[int, tuple[int, int]] = {}
+    # An open element: tag, number of its path, of its container, whether it is boilerplate, its article's number, its mark's, its own number.
+    stack: list[tuple[str, int, int, bool, int, int, int]] = [("", 0, 0, False, 0, 0, 0)]
     opened: dict[str, int] = {}
     count = links = 0
     text: list[str] = []
@@ -75,7 +110,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
         nonlocal linked
         if text:
             if words := " ".join(html.unescape("".join(text)).split()):
-                found.append(Block(home[1], home[2], home[4], words, min(linked, len(words))))
+                found.append(Block(home[1], home[2], home[4], words, min(linked, len(words)), home[5]))
             text.clear()
         linked = 0
 
@@ -133,7 +168,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
                 close(depth)
                 if tag == "tr" and stack[-1][0] == "tr":
                     close(len(stack) - 1)
-        _, above, container, out, inside, _ = stack[-1]
+        _, above, container, out, inside, mark, _ = stack[-1]
         names = ""
         hidden = False
         if m[3] and not m[3].isspace():
@@ -148,20 +183,54 @@ def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
         key = (above, f"{tag}.{names.strip()}")
         path = paths.setdefault(key, len(paths) + 1)
         content = tag in CONTENT or " main" in names and "role" in m[3]
-        # Only blocks are left out by class: an inline mark may be named anything.
-        out = out or hidden or tag in BOILERPLATE or bool(block and tag not in ("body", "html") and names and _NOT_CONTENT.search(names) and tag not in CONTENT) or bool(tag in CONTENT and re.search(r"\bcomment", names))
+        # Only blocks are marked by class: an inline mark may be named anything.
+        says = naming(names) if block and names and tag not in ("body", "html") else 0
+        out = out or hidden or tag in BOILERPLATE or tag in CONTENT and says == 3
+        if says and not out and tag not in CONTENT:
+            marks[count] = mark, says
+            mark = count
         if block and tag not in LEAF and tag not in ("body", "html"):
             container = count
-        stack.append((tag, path, container, out, inside or (count if content and not out else 0), count))
+        stack.append((tag, path, container, out, inside or (count if content and not out else 0), mark, count))
         opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
     say(page[at:])
     flush()
     close(1)
-    return found, last
+    return found, last, marks
+
+
+def judged(found: list[Block], last: dict[int, int], marks: dict[int, tuple[int, int]]) -> dict[int, float]:
+    """What the values of each mark's paths are multiplied by; 0 where its element is left out."""
+    total = 0
+    text: dict[int, int] = dict.fromkeys(marks, 0)
+    articles: dict[int, int] = {}
+    for b in found:
+        n = len(b.text) - b.linked
+        total += n
+        if b.mark:
+            text[b.mark] += n
+        if b.inside:
+            articles[b.inside] = articles.get(b.inside, 0) + n
+    for own in sorted(marks, reverse=True):
+        if around := marks[own][0]:
+            text[around] += text[own]
+    chief = sorted(a for a, n in articles.items() if n >= SHARE * max(articles.values()))
+    factors = {0: 1.0}
+    for own in sorted(marks):
+        around, says = marks[own]
+        at = bisect_right(chief, own)
+        if at < len(chief) and chief[at] <= last[own]:  # no name tells against what holds the article
+            factor = 1.0
+        elif says == 1:
+            factor = 1.0 if 2 * text[own] > total else LOWERED
+        else:  # comments may be longer than what they are about, and what stands beside an article than the article
+            factor = LOWERED if text[own] > (0.9 if says == 3 or chief else 0.5) * total else 0.0
+        factors[own] = factor * factors[around]
+    return factors
 
 
-def select(found: list[Block], last: dict[int, int]) -> list[bool]:
+def select(found: list[Block], last: dict[int, int], factors: dict[int, float]) -> list[bool]:
     """Which blocks are content, by the fused and smoothed ratios of their paths."""
     if not found:
         return []
@@ -175,6 +244,7 @@ def select(found: list[Block], last: dict[int, int]) -> list[bool]:
     row = fused[of] * np.where(inside > 0, ARTICLE, 1.0)
     padded = np.concatenate([row[:1], row, row[-1:]])
     smooth = sum(w * padded[i : i + len(row)] for i, w in enumerate(KERNEL))
+    smooth = smooth * np.array([factors[b.mark] for b in found])
     value = np.bincount(of, smooth) / nodes
     keep = value[of] >= SHARE * (smooth * length).sum() / max(1.0, length.sum())
     holders = {b.container for b, k in zip(found, keep) if k}
@@ -187,12 +257,14 @@ def select(found: list[Block], last: dict[int, int]) -> list[bool]:
             end = max(end, last[c])
         if c and c <= end:
             within.add(c)
-    return [bool(k) or b.container in within and b.linked <= 0.5 * len(b.text) for b, k in zip(found, keep)]
+    return [bool(k) or b.container in (within if factors[b.mark] == 1.0 else holders) and b.linked <= 0.5 * len(b.text) for b, k in zip(found, keep)]
 
 
 def main_text(page: str | None) -> str:
-    found, last = blocks(page or "")
-    return "\n\n".join(b.text for b, kept in zip(found, select(found, last), strict=True) if kept)
+    found, last, marks = blocks(page or "")
+    factors = judged(found, last, marks)
+    found = [b for b in found if factors[b.mark]]
+    return "\n\n".join(b.text for b, kept in zip(found, select(found, last, factors), strict=True) if kept)
 
 
 def extract(df: DataFrame, page: str = "html", text: str = "text") -> DataFrame:
