@@ -110,3 +110,19 @@ def test_signatures_estimate_similarity():
     x, y = (np.frombuffer(ngram_join.signature(ngram_join._mix(s)), "<u2") for s in (a, b))
     assert abs((x == y).mean() - 900 / 1100) < 0.15
     assert ngram_join.found_share(0.8, 4) > 0.9999 > ngram_join.found_share(0.8, 6)
+
+
+def test_a_hot_group_hides_no_link_near_the_threshold(spark):
+    """Pairs at 0.806 that share no whole label, beside a group whose links all are found by whole labels."""
+    rng = random.Random(5)
+    pairs = []
+    while len(pairs) < 6:
+        words = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+        other = [*words[:30], "x", "y", *words[32:]]
+        a, b = (np.frombuffer(ngram_join.signature(ngram_join.ngrams(" ".join(t))), "<u2").reshape(ngram_join.TREES, -1) for t in (words, other))
+        if not (a == b).all(axis=1).any():
+            pairs += [" ".join(words), " ".join(other)]
+    hot = [f"h{i}" for i in range(300)]
+    copies = [" ".join([*hot[:50], f"x{i}", *hot[51:]]) for i in range(40)]
+    docs = list(enumerate(copies + pairs))
+    assert _rows(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"))) == _brute(docs)

@@ -3,10 +3,9 @@
 Documents with the same n-grams form a class, of which one member goes on. A MinHash
 signature of TREES x DEPTH values gives each class a label of DEPTH values in each of
 TREES prefix tries; two classes are candidates where they share a prefix in some tree.
-The search begins with whole labels. From the similarity s that signatures show for the
-candidates found, 1 / (1 - (1 - s^depth)^TREES) estimates how many links there are for
-each one found; while the share found is below the target, prefixes are shortened to the
-greatest depth at which the estimate reaches it, or any link at the threshold would.
+Labels are shortened to the greatest depth at which any link at the threshold, with a
+chance of 1 - (1 - s^depth)^TREES at similarity s, reaches the target, so that whether a
+link is found doesn't depend on what else the table holds.
 Candidates whose signatures agree far too little are let go. The others are gathered
 into clusters, and within each all texts are compared exactly, so what the signatures
 say decides nothing but where to look.
@@ -178,8 +177,8 @@ def _stars(near: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _candidates(depth: int, least: float, threshold: float) -> Callable[[np.ndarray, pa.Table], dict[str, list]]:
-    """Edges between members of a trie's nodes whose signatures agree enough, and what they say of the links missed."""
+def _candidates(least: float) -> Callable[[np.ndarray, pa.Table], dict[str, list]]:
+    """Edges between members of a trie's nodes whose signatures agree enough."""
 
     def run(starts: np.ndarray, table: pa.Table) -> dict[str, list]:
         ids = table.column("cid").to_numpy()
@@ -188,25 +187,11 @@ def _candidates(depth: int, least: float, threshold: float) -> Callable[[np.ndar
         group[starts] = 1
         group = np.cumsum(group)
         size = np.bincount(group)[group]
-        cross = table.column("two").to_numpy(zero_copy_only=False)
-        side = table.column("side").to_numpy()
         a: list[int] = []
         b: list[int] = []
-        # Weights of the links found, by the depth at which they would be found, and at 0 of all that there are.
-        expected = np.zeros(depth + 1)
-
-        def compare(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            same = signs[i] == signs[j]
-            share = same.mean(axis=1)
-            trees = same.reshape(-1, TREES, DEPTH)[:, :, :depth].all(axis=2).sum(axis=1)
-            return share, np.maximum(trees, 1)
-
-        def note(share: np.ndarray, trees: np.ndarray) -> None:
-            linked = share >= threshold
-            each = 1.0 / trees[linked] / found_share(share[linked], depth)  # a pair is met once in each tree that it shares
-            expected[0] += each.sum()
-            for d in range(1, depth + 1):
-                expected[d] += (each * found_share(share[linked], d)).sum()
+
+        def shares(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (signs[i] == signs[j]).mean(axis=1)
 
         small = np.flatnonzero(size <= 32)
         for k in range(1, int(size[small].max()) if len(small) else 0):
@@ -215,24 +200,18 @@ def _candidates(depth: int, least: float, threshold: float) -> Callable[[np.ndar
             i, j = i[group[i] == group[j]], j[group[i] == group[j]]
             for at in range(0, len(i), _STEP):
                 x, y = i[at : at + _STEP], j[at : at + _STEP]
-                share, trees = compare(x, y)
-                note(share, trees)
-                near = share >= least
+                near = shares(x, y) >= least
                 a += ids[x[near]].tolist()
                 b += ids[y[near]].tolist()
         for begin in starts[size[starts] > 32]:
             rows = np.arange(begin, begin + size[begin])
             near = np.zeros((len(rows), len(rows)), dtype=bool)
             for r, row in enumerate(rows):
-                share, trees = compare(np.full(len(rows), row), rows)
-                near[r] = share >= least
-                counted = (rows > row) & ((side[rows] != side[row]) | ~cross[row])
-                note(share[counted], trees[counted])
+                near[r] = shares(np.full(len(rows), row), rows) >= least
             for x, y in _stars(near, ids[rows]):
                 a.append(x)
                 b.append(y)
-        none = [None] * len(expected)
-        return {"a": a + none, "b": b + none, "depth": [None] * len(a) + list(range(len(expected))), "links": [None] * len(a) + expected.tolist()}
+        return {"a": a, "b": b}
 
     return run
 
@@ -317,19 +296,13 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
-    depth, enough = DEPTH, max((d for d in range(1, DEPTH + 1) if found_share(threshold, d) >= target), default=1)
-    while True:
-        label = F.xxhash64("_t", F.expr(f"substring(signature, _t * {2 * DEPTH} + 1, {2 * depth})"))
-        nodes = classes.select("cid", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("_t")).select("cid", label.alias("node"))
-        counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        dealt = _dealt(nodes.join(counts, "node"), "node", "members", "cid", BLOCK)
-        dealt = dealt.select("unit", "cid", "side", "two").join(classes.select("cid", "signature"), "cid")
-        seen = materialize(_map_groups(dealt, "unit", _candidates(depth, least, threshold), "a long, b long, depth int, links double"), "candidates")
-        expected = {d: n for d, n in seen.where("a is null").groupBy("depth").agg(F.sum("links")).collect()}
-        reached = [d for d in range(enough, depth + 1) if expected.get(d, 0.0) >= target * expected.get(0, 0.0)]
-        if depth in (enough, *reached):
-            break
-        depth = max(reached, default=enough)
+    depth = max((d for d in range(1, DEPTH + 1) if found_share(threshold, d) >= target), default=1)
+    label = F.xxhash64("_t", F.expr(f"substring(signature, _t * {2 * DEPTH} + 1, {2 * depth})"))
+    nodes = classes.select("cid", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("_t")).select("cid", label.alias("node"))
+    counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    dealt = _dealt(nodes.join(counts, "node"), "node", "members", "cid", BLOCK)
+    dealt = dealt.select("unit", "cid").join(classes.select("cid", "signature"), "cid")
+    seen = materialize(_map_groups(dealt, "unit", _candidates(least), "a long, b long"), "candidates")
 
     clusters = components(seen.select("a", "b")).withColumnRenamed("node", "cid")
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
