@@ -78,3 +78,14 @@ def test_long_texts_are_scanned_whole():
     text = "word " * 400_000 + "AKIA" + "A1" * 8
     assert [s[:3] for s in secrets.find_spans(text)] == [("access", 2_000_000, 2_000_020)]
     assert F is not None
+
+
+def test_subscripts_and_declared_types():
+    for text in ('config["db_password"] = "q1W2e3R4t5"', "os.environ[ 'API_KEY' ] = 'q1W2e3R4t5'", 'api_key: str = "q1W2e3R4t5"', "const apiKey: string | null = 'q1W2e3R4t5'", 'val apiKey: String? = "q1W2e3R4t5"', "auth_key: Optional[str] = 'q1W2e3R4t5'", 'let token: &\'static str = "q1W2e3R4t5"'):
+        assert list(_literals(text)) == ["q1W2e3R4t5"], text
+    assert _literals('part: str = "q1W2e3R4t5"\nclient_secret = part') == {"q1W2e3R4t5": "client_secret"}
+    assert _literals('part: str = "q1W2e3R4t5"\npassword: str = None') == {}  # a type is no constant
+    assert _literals('error: token = "q1W2e3R4t5"') == {"q1W2e3R4t5": "token"}
+    assert _literals("api_key: dGhpc2lzYXNl1Y3Jl=") != {}
+    secrets.find_spans("token: " + "a" * 200_000 + " a<" * 50_000)
+    secrets.find_spans("token: " + "a b " * 100_000 + "token: a[" * 20_000)

@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and an assignment-aware lexer with constant propagation.
 
 The patterns give the base spans. The lexer reads source and configuration syntax
-(NAME = "literal", name: value, "name": "value", name => value, NAME := value) into
+(NAME = "literal", name: value, "name": "value", name => value, NAME := value,
+map["name"] = "value", name: Type = "value") into
 pairs of a name and the literals that its value is made of, follows references to
 names that were assigned before, and scores each literal by how sensitive the names
 are that it reaches and how random it looks. It adds spans of kind `literal`.
@@ -41,7 +42,11 @@ MIN_LITERAL = 8
 _ASSIGN_STEMS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _STEMS = ("pass", "pwd", "secret", "token", "credential", "key")
 _STEM = re.compile(r"pass[\W\d_]*(?:word|wd|phrase)|pwd|secret|token|credential|(?:api|access|private|signing|encryption|auth)[\W\d_]*key", re.ASCII)
-_PAIR = re.compile(r"""(?<![\w.$-])([A-Za-z_$][\w.$-]*)["']?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*""", re.ASCII)
+_PAIR = re.compile(r"""(?<![\w.$-])([A-Za-z_$][\w.$-]*)(?:["'][ \t]*\]|["'?!])?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*""", re.ASCII)
+#: A declared type and the operator after it, at the place of a value; its brackets and unions are bounded, so that time stays linear.
+_ONE_TYPE = r"(?:&[ \t]*(?:'[a-z]\w*[ \t]+)?)?[A-Za-z_][\w.]*+(?:[\[<][\w.,|&?*: \t\[\]<>]{1,200}[\]>])?+[?!]?(?:\[\])*+"
+_TYPE = re.compile(rf"{_ONE_TYPE}(?:[ \t]*\|[ \t]*{_ONE_TYPE}){{0,9}}+[ \t]*:?=(?![=>])[ \t]*", re.ASCII)
+_TYPES = frozenset("any char charsequence final none null object optional str string text undefined".split())
 _STRING = re.compile(r'''"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`''')
 _NAME = re.compile(r"\$\{([A-Za-z_][\w.]*)\}|\$?([A-Za-z_][\w.]*)(?![\w.+/=-])", re.ASCII)
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
@@ -80,15 +85,15 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end(), "", 1.0) for m in HEX.finditer(text)]
 
 
-def _value(text: str, at: int, constants: dict[str, tuple[tuple[int, int], ...]]) -> tuple[tuple[int, int], ...]:
-    """Spans of the literals that the value at `at` is made of."""
+def _value(text: str, at: int, constants: dict[str, tuple[tuple[int, int], ...]], bare: bool = True) -> tuple[tuple[int, int], ...]:
+    """Spans of the literals that the value at `at` is made of; a bare word is one if `bare`."""
     parts: list[tuple[int, int]] = []
     while True:
         if m := _STRING.match(text, at):
             parts.append(m.span(m.lastindex))
         elif (m := _NAME.match(text, at)) and (known := constants.get(m[1] or m[2])):
             parts += [p for p in known if p not in parts]
-        elif not parts and (m := _BARE.match(text, at)):
+        elif bare and not parts and (m := _BARE.match(text, at)):
             return ((m.start(), m.end()),)
         else:
             return tuple(parts)
@@ -106,7 +111,11 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     best: dict[tuple[int, int], tuple[float, str]] = {}
     for m in _PAIR.finditer(text):
         literals = _value(text, m.end(), constants)
-        constants[m[1]] = literals
+        if m[0].rstrip().endswith(":") and (typed := _TYPE.match(text, m.end())) and (declared := _value(text, typed.end(), constants, bare=False)):
+            # What looks like a type may be a value, if there are digits in it.
+            literals = declared + tuple(x for x in literals if x not in declared and typed.start() <= x[0] < typed.end() and any(map(str.isdigit, text[slice(*x)])))
+        if m[1].lower() not in _TYPES:
+            constants[m[1]] = literals
         if literals and (weight := name_weight(m[1])):
             for span in literals:
                 score = weight * randomness(text[slice(*span)])
