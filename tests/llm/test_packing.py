@@ -112,3 +112,13 @@ def test_window_count_rises_with_capacity():
     assert len(packing.fill([6, 6, 6], 10)) == 3
     assert len(packing.fill([5, 5, 5, 5], 10)) == 2
     assert all(sum([9, 9, 9, 1, 1][i] for i in w) <= 10 for w in packing.fill([9, 9, 9, 1, 1], 10))
+
+
+def test_added_tokens_are_the_librarys_by_default():
+    import random
+
+    tokenizer, encoder, rng = Tokenizer.from_file(PATH), packing.Encoder(PATH), random.Random(1)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", "a", " b", "'s", "\n", " ", "1", "é", "<"]
+    for _ in range(1000):
+        text = "".join(rng.choices(parts, k=rng.randrange(12)))
+        assert _ids(encoder.encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids

@@ -64,8 +64,8 @@ class Encoder:
 
     Such a tokenizer never merges across a space between two characters that are not
     white space, so each word there goes to the tokenizer's model once and is kept.
-    The ids are those of encode(text, add_special_tokens=False), special tokens'
-    strings in a text being ordinary text.
+    The ids are those of encode(text, add_special_tokens=False): strings of added
+    tokens in a text become their ids, and what stands between is encoded by itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -80,6 +80,11 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.normalizer is not None or not isinstance(tokenizer.pre_tokenizer, ByteLevel) or tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError("a plain byte-level tokenizer is needed")
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that match by what is beside them are not supported")
+        self.added = {t.content: struct.pack("<I", i) for i, t in added.items()}
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.tokenize = tokenizer.model.tokenize
         self.split = regex.compile(BYTE_LEVEL_PATTERN).findall
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -117,6 +122,11 @@ class Encoder:
         return b"".join(map(self.parts.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return b"".join([self.added[t] if i % 2 else self._between(t) for i, t in enumerate(self.cut_added(text))])
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
         words = text.split(" ")
         try:
             return b"".join([self.encode_whole(words[0]), *map(self.known.__getitem__, words[1:])])
