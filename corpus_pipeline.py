@@ -31,10 +31,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without an id are kept.
     """
-    found = materialize(ngram_join.join(docs), "joined")
-    dropped = found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    # Rows may share an id, so each has a number of its own, written so that it stays the same.
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    has_id = F.col("doc_id").isNotNull()
+    found = materialize(ngram_join.join(rows.where(has_id), "_row"), "joined")
+    linked = materialize(found.where("n_links > 0").select("_row", "class_id").join(rows.select("_row", "doc_id"), "_row"), "linked")
+    first = linked.groupBy("class_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row")
+    kept = rows.join(linked.select("_row").join(first, "_row", "left_anti"), "_row", "left_anti")
+    again = rows.where(has_id).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if not again.isEmpty():
         again = materialize(again, "again")
         once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -65,3 +65,10 @@ def test_repeated_rows_and_nulls(spark):
     assert sorted((r.doc_id or 0) for r in one.collect()) == [0, 1, 3, 4] or sorted((r.doc_id or 0) for r in one.collect()) == [0, 1, 2, 3, 4]
     assert corpus_pipeline.secret_stage(spark, docs, SF).count() == 6
     assert corpus_pipeline.packing_stage(spark, docs, SF).count() >= 6
+
+
+def test_near_duplicates_among_rows_that_share_an_id(spark):
+    a, b = "one two three four five six seven", "quite another text with more words in it"
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (3, b, "en", "s", 1), (4, None, "en", "s", 0), (4, None, "en", "s", 0), (None, a, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert kept.columns == COLUMNS and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (2, b), (4, None), (None, a)], key=str)
