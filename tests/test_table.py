@@ -123,7 +123,77 @@ def test_vacuum_deletes_what_no_commit_names(spark, root):
     t.put("k", "v")
     _batch(spark, 3).select(F.lit(1).cast("byte").alias("op"), F.col("id").alias("seq"), F.col("key").cast("binary"), F.col("value").cast("binary")).write.parquet(f"{root}/log/log_no=99")
     assert Table(spark, root).snapshot().count() == 1
-    assert len(t.vacuum()) == 1 and t.get("k") == b"v"
+    assert t.vacuum() == [] and len(t.vacuum(older_than=0)) == 1 and t.get("k") == b"v"
+
+
+def test_vacuum_of_a_stale_handle_spares_what_others_have_committed(spark, root):
+    a, b = Table(spark, root), Table(spark, root)
+    a.put("a", "1")
+    b.refresh()
+    b.put("b", "2")
+    assert a.state.version == 1  # stale
+    assert a.vacuum(older_than=0) == []
+    assert sorted(bytes(r.key) for r in Table(spark, root).snapshot().collect()) == [b"a", b"b"]
+    assert len(manifest.versions(spark, root)) == 1
+
+
+def test_a_handle_reads_what_others_commit(spark, root):
+    a, b = Table(spark, root), Table(spark, root)
+    a.put("k", "1")
+    assert b.get("k") == b"1"
+    b.put("k", "2")
+    assert a.get("k") == b"2"
+
+
+@pytest.mark.parametrize("linked", [True, False])
+def test_a_dead_writers_claim_blocks_no_one(spark, root, tmp_path, monkeypatch, linked):
+    from tidemark.sources import files
+
+    monkeypatch.setattr(files, "LINKED", {"file"} if linked else set())
+    t = Table(spark, root)
+    t.put("k", "1")
+    claim = tmp_path / "db" / "_manifest" / f"{2:012d}.json.claim"
+    claim.write_text("a writer that died")
+    if not linked:
+        with pytest.raises(manifest.Conflict):  # it may be alive still
+            t.put("k", "2")
+        monkeypatch.setattr(files, "CLAIM_SECONDS", 0.0)
+    t.put("k", "2")
+    assert Table(spark, root).get("k") == b"2" and t.state.version == 2
+    with pytest.raises(manifest.Conflict):
+        manifest.commit(spark, t.root, manifest.State(version=1))
+    assert not list((tmp_path / "db" / "_manifest").glob("*.part")) and (linked or not claim.exists())
+
+
+def test_manifest_stays_small(spark, root):
+    t = Table(spark, root)
+    for i in range(3):
+        t.put_batch(_batch(spark, 2), "id", batch_id=f"in-{i}")
+    t.put_batch(_batch(spark, 2, value="again_"), "id", batch_id="in-1")  # a repeated batch is left out
+    assert t.state.batches == {"in": 2} and sum(t.state.logs.values()) == 3 * 2 * 16 and t.get("key_0001") == b"val_0001"
+
+
+def test_unsynced_changes_are_the_handles_own_until_a_commit(spark, root):
+    t = Table(spark, root, sync=False)
+    t.put("a", "1")
+    t.put("a", "2")
+    t.remove("b")
+    assert t.get("a") == b"2" and t.state.version == 0 and Table(spark, root).get("a") is None
+    t.sync_log()
+    assert Table(spark, root).get("a") == b"2" and t.state.version == 1 and t.state.next_seq == 4
+    t.put("c", "3")
+    t.flush()
+    assert Table(spark, root).get("c") == b"3" and not t.state.logs
+
+
+def test_flush_in_the_background(spark, root):
+    t = Table(spark, root, buffer_bytes=200, background=True)
+    for i in range(4):
+        t.put_batch(_batch(spark, 20, prefix=f"k{i}_"), "id")
+    t.wait()
+    assert t.snapshot().count() == 80 and t.state.runs and sum(t.state.logs.values()) < 2 * 20 * 15
+    t.flush()
+    assert Table(spark, root).snapshot().count() == 80 and not t.state.logs
 
 
 def test_missing_run_is_an_error(spark, root):

@@ -47,9 +47,11 @@ class State:
     next_seq: int = 1
     next_run: int = 1
     next_log: int = 1
-    logs: list[str] = field(default_factory=list)
+    #: Unflushed batches by name, with their payload bytes.
+    logs: dict[str, int] = field(default_factory=dict)
     runs: list[dict] = field(default_factory=list)
-    batches: dict[str, str] = field(default_factory=dict)
+    #: The newest batch number of each stream.
+    batches: dict[str, int] = field(default_factory=dict)
 
 
 class Conflict(RuntimeError):
@@ -58,10 +60,15 @@ class Conflict(RuntimeError):
 
 def read(spark: SparkSession, root: str) -> State:
     """The newest committed state; that of an empty table if there is none."""
-    names = [n for n in files.names(spark, f"{root}/_manifest") if n.endswith(".json")]
+    names = versions(spark, root)
     if not names:
         return State()
-    return State(**json.loads(files.read_text(spark, f"{root}/_manifest/{max(names)}")))
+    return State(**json.loads(files.read_text(spark, f"{root}/_manifest/{names[-1]}")))
+
+
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Names of the committed manifest files, the newest last."""
+    return sorted(n for n in files.names(spark, f"{root}/_manifest") if n.endswith(".json"))
 
 
 def commit(spark: SparkSession, root: str, state: State) -> State:

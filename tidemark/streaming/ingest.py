@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -19,10 +20,15 @@ def into_table(changes: DataFrame, table: Table, checkpoint: str, order: str = "
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # it is read twice, and may be costly to work out
+        try:
             # The smallest number of the batch becomes 0: the table numbers on from its last change.
             first = batch.agg(F.min(order)).first()[0]
-            table.put_batch(batch.withColumn("_order", F.col(order) - first), "_order", f"{name}-{number}")
+            if first is not None:
+                columns = [c for c in ("key", "value", "op") if c in batch.columns]
+                table.put_batch(batch.select(*columns, (F.col(order) - first).alias("place")), "place", f"{name}-{number}")
+        finally:
+            batch.unpersist()
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
