@@ -31,3 +31,51 @@ def test_append_columns_replaces_clashing_names(spark):
     rows = spark.createDataFrame([(1, "a", 9), (2, None, 9)], "id long, text string, n int")
     found = _common.append_columns(rows, ["text"], lambda t: {"n": [len(x or "") for x in t]}, "n long")
     assert found.columns == ["id", "text", "n"] and sorted(map(tuple, found.collect())) == [(1, "a", 1), (2, None, 0)]
+
+
+def test_append_columns_takes_inputs_with_names_of_its_own(spark):
+    rows = spark.createDataFrame([("a", "b", "c")], "text string, _in_text string, _in_0 string")
+    found = _common.append_columns(rows, ["text"], lambda t: {"text": [x + "!" for x in t]}, "text string")
+    assert found.columns == ["_in_text", "_in_0", "text"] and tuple(found.first()) == ("b", "c", "a!")
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_joined_apart(spark, monkeypatch, how):
+    monkeypatch.setattr(_common, "FEW", 4)
+    keys = [1] * 50 + [2] * 30 + list(range(3, 20)) + [None] * 9 + [99]
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, key long")
+    table = spark.createDataFrame([(k, keys.count(k), f"v{k}") for k in set(keys) - {None, 99}], "key long, n long, value string")
+    got = _common.join_hot(rows, table, "key", "n", len(keys), how)
+    want = rows.join(table.drop("n"), "key", how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_tables_go_with_the_folder_of_the_application(spark, tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+from pyspark.sql import functions as F
+from tidemark.llm import _common
+_common.materialize(s.range(3), "a")
+gone = _common.materialize(s.range(3), "b")
+_common.drop(gone)
+try:
+    _common.materialize(s.range(3).select(F.raise_error(F.lit("no")).alias("x")), "c")
+except Exception:
+    pass
+import os
+(folder,) = [x for x in os.listdir("{tmp_path}") if x.startswith("tidemark-")]
+assert not [x for x in os.listdir("{tmp_path}/" + folder) if x.startswith("b-")]
+s.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0], timeout=120)
+    import time
+
+    for _ in range(50):  # the JVM ends a moment after its driver
+        if not list(tmp_path.glob("tidemark-*")):
+            break
+        time.sleep(0.2)
+    assert not list(tmp_path.glob("tidemark-*"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import re
 import tempfile
 import uuid
@@ -10,8 +9,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,32 +31,90 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system that its URL names."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    hadoop, store = _file_system(spark, path)
+    store.delete(hadoop, True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The application's own folder for intermediate tables.
+
+    The file system that it is in deletes it when the driver's JVM ends, whether the
+    session was stopped before or not; a folder of an application that has ended in
+    this process goes when the next one asks for its own.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        for old in [a for a in _folders if a != app]:
+            delete_path(spark, _folders.pop(old))
+        path = f"{scratch_root(spark)}/tidemark-{app}-{uuid.uuid4().hex[:12]}"
+        hadoop, store = _file_system(spark, path)
+        store.mkdirs(hadoop)
+        store.deleteOnExit(hadoop)
+        _folders[app] = path
+    return _folders[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared scratch folder and read it back.
 
     This cuts the lineage, so that later stages survive lost executors without
-    recomputing, and evaluates an expensive input once. The table goes when the
-    driver ends.
+    recomputing, and evaluates an expensive input once. drop() deletes the table; what is
+    left goes with the folder, and so does what a write that fails leaves.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
 
-    def clean() -> None:
-        try:
-            delete_path(spark, path)
-        except Exception:  # the session may be gone; the folder's owner then clears it
-            pass
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for table in tables:
+        delete_path(table.sparkSession, table._scratch_path)
 
-    atexit.register(clean)
-    return spark.read.schema(df.schema).parquet(path)
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Each name, with underscores before it until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with more than this share of all rows is joined apart; of such there are fewer than FEW.
+FEW = 1024
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined ("inner" or "left") with `table`, which has one row for each value of `on`.
+
+    `weight` says how many of the `total` rows have the value. Values of more than
+    total / FEW rows are fewer than FEW, so their part of the table is broadcast; the
+    others are joined by a shuffle in which no key has more than that share of the rows,
+    and rows without a value, which may be many, take no part in it.
+    """
+    large = F.col(weight) * FEW > total
+    hot, cold = table.where(large).drop(weight), table.where(~large).drop(weight)
+    held = rows.where(F.col(on).isNotNull())
+    rest = held.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, how)
+    both = held.join(F.broadcast(hot), on).unionByName(rest)
+    if how == "left":
+        added = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields if f.name not in (on, weight)]
+        both = both.unionByName(rows.where(F.col(on).isNull()).select("*", *added))
+    return both
 
 
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 512) -> DataFrame:
@@ -89,9 +148,10 @@ def append_columns(df: DataFrame, inputs: list[str], fn: Callable[..., dict[str,
     from pyspark.sql.types import StructType
 
     added = StructType.fromDDL(new)
-    kept = [f for f in df.schema.fields if f.name not in added.fieldNames()]
+    lower = {n.lower() for n in added.fieldNames()}
+    kept = [f for f in df.schema.fields if f.name.lower() not in lower]
     names = [f.name for f in kept]
-    read = [c for c in inputs if c not in names]
+    place = {c: names.index(c) if c in names else len(names) + i for i, c in enumerate(inputs)}
     out = StructType(kept + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +159,11 @@ def append_columns(df: DataFrame, inputs: list[str], fn: Callable[..., dict[str,
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                got = fn(*[part.column(part.schema.get_field_index("_in_" + c if c in read else c)).to_pylist() for c in inputs])
+                got = fn(*[part.column(place[c]).to_pylist() for c in inputs])
                 columns = [part.column(i).cast(target.field(i).type) for i in range(len(names))]
                 columns += [pa.array(got[f.name], target.field(f.name).type) for f in added.fields]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    return df.select(*names, *[df[c].alias("_in_" + c) for c in read]).mapInArrow(run, out)
+    # Inputs stand after what is kept, under names that no column has, and are found by place.
+    apart = fresh(names, *[f"_in_{i}" for i in range(len(inputs))])
+    return df.select(*[df[n] for n in names], *[df[c].alias(a) for c, a in zip(inputs, apart)]).mapInArrow(run, out)
