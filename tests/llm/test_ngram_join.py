@@ -126,3 +126,20 @@ def test_a_hot_group_hides_no_link_near_the_threshold(spark):
     copies = [" ".join([*hot[:50], f"x{i}", *hot[51:]]) for i in range(40)]
     docs = list(enumerate(copies + pairs))
     assert _rows(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"))) == _brute(docs)
+
+
+def test_long_texts_make_blocks_by_their_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 4000)
+    texts = _family(7, 6, words=3000, edits=20) + _family(8, 3)
+    docs = list(enumerate(texts))
+    assert _rows(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"))) == _brute(docs)
+
+
+def test_only_texts_of_members_are_shuffled(spark):
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "rid")
+    filters, bits = ngram_join.member_filter(keys, "rid", 1000)
+    rows = spark.range(3000).withColumnRenamed("id", "doc")
+    kept = {r.doc for r in ngram_join.maybe_members(rows, "doc", filters, bits).collect()}
+    assert kept >= set(range(0, 3000, 3)) and len(kept) < 1150
+    none, bits = ngram_join.member_filter(keys.limit(0), "rid", 0)
+    assert ngram_join.maybe_members(rows, "doc", none, bits).count() == 0

@@ -10,9 +10,10 @@ Candidates whose signatures agree far too little are let go. The others are gath
 into clusters, and within each all texts are compared exactly, so what the signatures
 say decides nothing but where to look.
 
-No pairs are emitted: a node of a trie, or a cluster, with more than BLOCK members is
-dealt out as pairs of blocks, and each task returns sums by member and edges that
-connect what it found.
+No pairs are emitted: a node of a trie, or a cluster, with more than BLOCK members (or a
+cluster with more than BLOCK_GRAMS n-grams) is dealt out as pairs of blocks, and each task
+returns sums by member and edges that connect what it found. Texts are shuffled only
+where a bitmap of the members' ids has their bit.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import map_rows, materialize
+from tidemark.llm._common import drop, join_hot, map_rows, materialize
 from tidemark.llm.components import components
 
 NGRAM = 5
@@ -37,6 +38,12 @@ DEPTH = 6
 TARGET_RECALL = 0.9999
 #: Members of a trie's node or a cluster that one task compares with as many others.
 BLOCK = 256
+#: N-grams that a block of a cluster holds, so that long texts make more and smaller blocks.
+BLOCK_GRAMS = 1 << 20
+#: Bits of the filter for each member, and at most: 32 MB, whatever the input. A filter that is too small lets more texts pass.
+FILTER_SHARE = 32
+FILTER_BITS = 1 << 28
+_BITMAP = 32768
 #: Standard errors by which a signature's similarity may fall short of the threshold.
 SLACK = 5.0
 _WORD = re.compile(r"\w+")
@@ -144,12 +151,36 @@ def _map_groups(df: DataFrame, key: str, fn: Callable[[np.ndarray, pa.Table], di
     return df.repartition(partitions, key).sortWithinPartitions(key).mapInArrow(run, struct)
 
 
-def _dealt(rows: DataFrame, group: str, size: str, member: str, block: int) -> DataFrame:
-    """Deal each group to units of at most two blocks; adds unit, side and whether the unit is of two blocks."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
+def _bit(key: Column, bits: int) -> tuple[Column, Column]:
+    """Number of the bitmap and place in it of a key's bit."""
+    h = F.pmod(F.xxhash64(key), F.lit(bits).cast("long"))
+    return F.floor(h / _BITMAP).cast("int"), F.pmod(h, F.lit(_BITMAP))
+
+
+def member_filter(keys: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
+    """Bitmaps with a bit for each key, by their number, and their bits in all: FILTER_BITS at most."""
+    bits = _BITMAP
+    while bits < min(FILTER_SHARE * n, FILTER_BITS):
+        bits *= 2
+    bitmap, place = _bit(F.col(key), bits)
+    # Dealt before they are gathered: a bitmap is larger than the few keys of it that a task meets.
+    dealt = keys.where(F.col(key).isNotNull()).select(bitmap.alias("_bitmap"), place.alias("_place")).repartition("_bitmap")
+    return dealt.groupBy("_bitmap").agg(F.bitmap_construct_agg("_place").alias("_bits")), bits
+
+
+def maybe_members(rows: DataFrame, key: str, filters: DataFrame, bits: int) -> DataFrame:
+    """The rows whose key has its bit: all members, and few others while the filter is large enough."""
+    bitmap, place = _bit(F.col(key), bits)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = rows.withColumn("_bitmap", bitmap).join(F.broadcast(filters), "_bitmap")
+    return found.where(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
+def _dealt(rows: DataFrame, group: str, blocks: Column, member: str) -> DataFrame:
+    """Deal each group to units of at most two of its blocks; adds unit, side and whether the unit is of two blocks."""
     own = F.pmod(F.xxhash64(member), F.col("_blocks"))
     other = F.explode(F.when(F.col("_blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    rows = rows.withColumn("_blocks", blocks.cast("long")).withColumn("_own", own)
+    rows = rows.withColumn("_blocks", F.ceil(blocks).cast("long")).withColumn("_own", own)
     rows = rows.withColumn("_other", other)
     pair = F.struct(F.least("_own", "_other"), F.greatest("_own", "_other"))
     return rows.withColumn("unit", F.xxhash64(group, pair)).withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).withColumn("two", F.col("_own") != F.col("_other")).drop("_blocks", "_own", "_other")
@@ -277,8 +308,9 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     n_links counts the other documents whose n-grams have a Jaccard similarity of at
     least `threshold` with its own, class_id is the smallest key that links reach, and
     copy_of the smallest key with exactly its n-grams. A null text counts as empty;
-    documents without words link with nothing. A null key, in a row that is kept, has
-    null results. Repeated rows count as documents of their own. Other columns are not kept.
+    documents without words link with nothing. A text of any length is read whole. A null
+    key, in a row that is kept, has null results. Repeated rows count as documents of their
+    own. Other columns are not kept.
     """
 
     def sign(columns: dict[str, list]) -> dict[str, list]:
@@ -286,40 +318,53 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
         return {
             "doc": columns["doc"],
             "grams": [digest(g) for g in grams],
+            "n": [len(g) for g in grams],
             "signature": [signature(g) if len(g) else None for g in grams],
         }
 
     rows = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    docs = materialize(map_rows(rows, ["doc", "text"], sign, "doc long, grams binary, signature binary"), "signed")
+    docs = materialize(map_rows(rows, ["doc", "text"], sign, "doc long, grams binary, n long, signature binary"), "signed")
     signed = docs.where(F.col("grams").isNotNull() & F.col("doc").isNotNull())
-    classes = signed.groupBy("grams").agg(F.min("doc").alias("rid"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+    classes = signed.groupBy("grams").agg(F.min("doc").alias("rid"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    n_docs, n_classes = docs.count(), classes.count()
 
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
     depth = max((d for d in range(1, DEPTH + 1) if found_share(threshold, d) >= target), default=1)
     label = F.xxhash64("_t", F.expr(f"substring(signature, _t * {2 * DEPTH} + 1, {2 * depth})"))
     nodes = classes.select("cid", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("_t")).select("cid", label.alias("node"))
-    counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    dealt = _dealt(nodes.join(counts, "node"), "node", "members", "cid", BLOCK)
+    counts = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "nodes")
+    shared = join_hot(nodes, counts.withColumn("_n", F.col("members")), "node", "_n", TREES * n_classes)
+    dealt = _dealt(shared, "node", F.col("members") / BLOCK, "cid")
     dealt = dealt.select("unit", "cid").join(classes.select("cid", "signature"), "cid")
     seen = materialize(_map_groups(dealt, "unit", _candidates(least), "a long, b long"), "candidates")
-
-    clusters = components(seen.select("a", "b")).withColumnRenamed("node", "cid")
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    members = clusters.join(sizes, "component").join(classes.drop("signature"), "cid")
+    drop(counts)
+
+    clusters = components(seen.select("a", "b"))
+    held = clusters.withColumnRenamed("node", "cid").join(classes.drop("signature"), "cid")
+    sizes = materialize(held.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all_grams")), "sizes")
+    members = join_hot(held, sizes.withColumn("_n", F.col("members")), "component", "_n", n_classes)
+    members = materialize(members, "members")
+    drop(seen, sizes, clusters)
+    filters, bits = member_filter(members, "rid", members.count())
+    filters = materialize(filters, "filter")
     # Always a shuffled join: the members grow with the input, and no size of theirs changes the plan.
-    texts = rows.where(F.col("doc").isNotNull()).hint("merge")
-    members = materialize(members, "members").join(texts, F.col("rid") == F.col("doc"))
-    dealt = _dealt(members, "component", "members", "cid", BLOCK).select("unit", "cid", "side", "two", "copies", "grams", "text")
+    texts = maybe_members(rows.where(F.col("doc").isNotNull()), "doc", filters, bits).hint("merge")
+    blocks = F.greatest(F.col("members") / BLOCK, F.col("all_grams") / BLOCK_GRAMS)
+    dealt = _dealt(members.join(texts, F.col("rid") == F.col("doc")), "component", blocks, "cid").select("unit", "cid", "side", "two", "copies", "grams", "text")
     verified = materialize(_map_groups(dealt, "unit", _verified(threshold), "a long, b long, links long"), "links")
+    drop(members, filters)
 
     links = verified.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
-    groups = components(verified.select("a", "b")).withColumnRenamed("node", "cid")
-    found_classes = classes.drop("signature").join(links, "cid", "left").join(groups, "cid", "left")
+    groups = components(verified.select("a", "b"))
+    found_classes = classes.drop("signature", "n").join(links, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
     found_classes = materialize(found_classes.withColumn("component", F.coalesce("component", "cid")), "linked")
-    names = found_classes.groupBy("component").agg(F.min("rid").alias("class_id"))
-    result = found_classes.join(names, "component").select("grams", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rid").alias("copy_of"))
+    names = found_classes.groupBy("component").agg(F.min("rid").alias("class_id"), F.count(F.lit(1)).alias("_n"))
+    named = join_hot(found_classes, names, "component", "_n", n_classes)
+    result = named.select("grams", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rid").alias("copy_of"), F.col("copies").alias("_n"))
+    result = materialize(result, "result")
+    drop(verified, groups, classes, found_classes)
     docs = docs.select(F.col("doc").alias(key), F.when(F.col("doc").isNotNull(), F.col("grams")).alias("grams"))
-    joined = docs.join(materialize(result, "result"), "grams", "left")
+    joined = join_hot(docs, result, "grams", "_n", n_docs, "left")
     n_links = F.when(F.col(key).isNotNull(), F.coalesce("n_links", F.lit(0)))
     return joined.select(key, F.coalesce("class_id", key).alias("class_id"), n_links.alias("n_links"), F.coalesce("copy_of", key).alias("copy_of"))
