@@ -17,7 +17,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda t: tokenizer.encode(t, add_special_tokens=False).ids
 
 
@@ -35,7 +34,6 @@ def test_ids_are_the_librarys(spark, library):
 @given(st.text(alphabet=st.sampled_from("ab Ab'sé1 \n\t.,!  x字<|>\x1c\x85\xa0"), max_size=60))
 def test_ids_of_odd_texts(text):
     tokenizer = test_ids_of_odd_texts.__dict__.setdefault("t", Tokenizer.from_file(PATH))
-    tokenizer.encode_special_tokens = True
     encoder = test_ids_of_odd_texts.__dict__.setdefault("e", packing.Encoder(PATH))
     assert _ids(encoder.encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -122,3 +120,29 @@ def test_added_tokens_are_the_librarys_by_default():
     for _ in range(1000):
         text = "".join(rng.choices(parts, k=rng.randrange(12)))
         assert _ids(encoder.encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_end_of_text_string_is_the_librarys(spark, library):
+    docs = spark.createDataFrame([(1, "one <|endoftext|> two")], "doc_id long, text string")
+    (row,) = packing.tokenize(docs, PATH).collect()
+    assert _ids(row.ids) == [*library("one <|endoftext|> two"), 1] == [505, 220, 50256, 734, 1]
+
+
+def test_whole_windows_need_no_group(spark):
+    from pyspark.sql import functions as F
+
+    pieces = spark.range(0, 50_000, 1, 16).select(F.col("id").alias("doc_id"), F.lit(2048).cast("long").alias("length"), F.lit("x").alias("_row"), F.lit("y").alias("_group"))
+    packed = packing.pack(pieces)
+    assert packed.columns == ["doc_id", "length", "_row", "_group", "sequence_id", "offset"]
+    rows = packed.withColumn("task", F.spark_partition_id()).agg(F.countDistinct("sequence_id"), F.max("offset"), F.count("*"), F.countDistinct("task")).first()
+    assert tuple(rows)[:3] == (50_000, 0, 50_000) and rows[3] >= 4
+
+
+def test_long_text(spark, library):
+    text = "some words of a long text, " * 40_000
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    pieces = packing.tokenize(docs, PATH).withColumn("ids_crc32", F.crc32("ids"))
+    tokens = {1: [*library(text), 1], 2: [*library("short"), 1]}
+    _check(packing.pack(pieces).collect(), tokens, 2048)

@@ -1,8 +1,8 @@
 """Packing of token sequences into windows by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised once and cut into pieces: whole windows first, the rest into
-pieces of PIECE ids and a shorter last one; the short ones even out the windows. Pieces of a whole window fill one alone. The
-others are dealt at random into groups of bounded size; in each group differencing
+pieces of PIECE ids and a shorter last one; the short ones even out the windows. Pieces
+of a whole window fill one alone and are only numbered. The others are dealt at random into groups of bounded size; in each group differencing
 merges the two partial partitions with the largest spread, largest sums against
 smallest, until one partition into near-equal windows is left. It starts from the
 least window count that could hold the group, which rises while any window exceeds
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import map_rows, materialize
+from tidemark.llm._common import fresh, map_rows, materialize
 
 WINDOW = 2048
 PIECE = 256
@@ -149,7 +149,8 @@ def tokenize(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     """Pieces of every document: key, start, length, doc_tokens and ids (binary, little-endian 32 bit).
 
     The ids are those of the text, then end_id. A null text counts as empty and gives
-    one piece, of end_id alone. Other columns are not kept.
+    one piece, of end_id alone; a text of any length is cut as a whole. Repeated rows, and
+    rows with a null key, each give their own pieces. Other columns are not kept.
     """
     kind = df.schema[key].dataType.simpleString()
     end = struct.pack("<I", end_id)
@@ -228,28 +229,28 @@ def pack(pieces: DataFrame, length: str = "length", window: int = WINDOW, group_
     groups, drawn from row numbers, stay the same when a task is repeated; equal
     rows spread like any others. An empty table stays empty.
     """
-    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    rows = materialize(pieces.select(*kept, F.monotonically_increasing_id().alias("_row")), "pieces")
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    number, group = fresh(kept, "_row", "_group")
+    rows = materialize(pieces.select(*kept, F.monotonically_increasing_id().alias(number)), "pieces")
+    loose = rows.where(F.col(length) < window)
     part, longest = rows.agg(F.sum(F.when(F.col(length) < window, F.col(length))), F.max(length)).first()
     if (longest or 0) > window:
         raise ValueError(f"a piece of {longest} ids exceeds the window of {window}")
     groups = max(1, -(-(part or 0) // (window * group_windows)))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
+    loose = loose.withColumn(group, F.pmod(F.xxhash64(number), F.lit(groups)))
     schema = rows.select(*kept).schema.add("sequence_id", "long").add("offset", "long")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_row", ignore_index=True)
+        frame = frame.sort_values(number, ignore_index=True)
         sizes = frame[length].to_numpy()
-        whole = np.flatnonzero(sizes == window)
-        loose = np.flatnonzero(sizes < window)
         sequence, offset = np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=np.int64)
-        sequence[whole] = np.arange(len(whole))
-        for k, items in enumerate(fill(sizes[loose].tolist(), window), len(whole)):
-            at = loose[items]
-            sequence[at] = k
-            offset[at] = np.cumsum(sizes[at]) - sizes[at]
-        frame["sequence_id"] = (int(frame["_group"].iloc[0]) << 32) + sequence
+        for k, items in enumerate(fill(sizes.tolist(), window)):
+            sequence[items] = k
+            offset[items] = np.cumsum(sizes[items]) - sizes[items]
+        frame["sequence_id"] = 2 * ((int(frame[group].iloc[0]) << 32) + sequence)
         frame["offset"] = offset
         return frame[schema.names]
 
-    return rows.groupBy("_group").applyInPandas(run, schema)
+    # A whole window needs no group: its number, odd where those of groups are even, is its row's.
+    whole = rows.where(F.col(length) == window).select(*kept, (2 * F.col(number) + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return whole.unionByName(loose.groupBy(group).applyInPandas(run, schema))
