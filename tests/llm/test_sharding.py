@@ -58,3 +58,19 @@ def test_nulls_repeats_clashing_names_and_empty(spark):
 def test_slots_of_a_hot_key(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("id"), F.lit(0).alias("shard"))
     assert sorted(r.slot for r in sharding.number_slots(rows, "shard", ["id"]).collect()) == list(range(1000))
+
+
+def test_clashing_names_and_a_row_without_bound(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SPREAD", 64)
+    rows = spark.createDataFrame([(i, "b", "m") for i in range(5)], "id long, _best string, _more string")
+    placed = sharding.assign_shard(rows, "id", [1.0] * 3, grown="grown")
+    assert placed.columns == ["id", "_best", "_more", "shard", "grown"] and {r._best for r in placed.collect()} == {"b"}
+    hot = spark.range(1000).select((F.col("id") % 7 * (F.col("id") % 3 == 0).cast("int")).alias("_n"), F.lit(0).alias("_at"))
+    assert sorted(r.slot for r in sharding.number_slots(hot, "_at", ["_n"]).collect()) == list(range(1000))
+
+
+def test_long_texts(spark):
+    docs = spark.createDataFrame([(1, "é" * 500_000), (2, None)], "doc_id long, text string")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = sharding.assign_shard(docs.select("doc_id", (F.octet_length(text) + 8).alias("size")), "doc_id", [1.0] * 24)
+    assert sorted((r.doc_id, r.size) for r in rows.collect()) == [(1, 1_000_008), (2, 8)]

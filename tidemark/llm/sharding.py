@@ -13,10 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialize
+from tidemark.llm._common import drop, fresh, materialize
 
 #: Digits of the digest that make up u: 13 hexadecimal digits are 52 bits, exact in a double.
 HEX_DIGITS = 13
+#: Slots of equal rows that are written out at once.
+SPREAD = 1 << 16
 
 
 def rendezvous_score(key: Column, shard: int, weight: float = 1.0) -> Column:
@@ -34,11 +36,13 @@ def assign_shard(df: DataFrame, key: str, weights: Sequence[float], out: str = "
     `grown` is replaced.
     """
     best = F.array_max(F.array(*[F.struct(rendezvous_score(F.col(key), i, w).alias("s"), F.lit(-i).alias("i")) for i, w in enumerate(weights)]))
-    df = df.withColumn("_best", best).withColumn(out, -F.col("_best.i"))
+    # The key is read before `out` and `grown`, of which one may have its name.
+    top, more = fresh([*df.columns, out, grown or ""], "_best", "_more")
+    df = df.withColumns({top: best, more: rendezvous_score(F.col(key), len(weights), grown_weight) if grown else F.lit(None)})
+    df = df.withColumn(out, -F.col(f"{top}.i"))
     if grown:
-        more = rendezvous_score(F.col(key), len(weights), grown_weight)
-        df = df.withColumn(grown, F.when(more > F.col("_best.s"), F.lit(len(weights))).otherwise(F.col(out)))
-    return df.drop("_best")
+        df = df.withColumn(grown, F.when(F.col(more) > F.col(f"{top}.s"), F.lit(len(weights))).otherwise(-F.col(f"{top}.i")))
+    return df.drop(top, more)
 
 
 def number_slots(df: DataFrame, shard: str, order: Sequence[str], out: str = "slot") -> DataFrame:
@@ -50,12 +54,19 @@ def number_slots(df: DataFrame, shard: str, order: Sequence[str], out: str = "sl
     by shard, and a prefix sum over those few counts gives where each range begins.
     """
     keys = [shard, *[c for c in order if c != shard]]
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counted.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    n, part, at, start, chunk = fresh([*keys, out], "_n", "_part", "_at", "_start", "_chunk")
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    ranged = counted.repartitionByRange(*keys).withColumn(part, F.spark_partition_id())
     ranged = materialize(ranged, "slots")
-    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy(shard, "_part").agg(F.sum("_n").alias("_n")).select(shard, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_part", shard).orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("_at", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-    placed = placed.join(starts, [shard, "_part"]).withColumn("_at", F.col("_at") + F.col("_start"))
-    return placed.select(*keys, F.explode(F.sequence("_at", F.col("_at") + F.col("_n") - 1)).alias(out))
+    before = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(shard, part).agg(F.sum(n).alias(n)).select(F.col(shard).alias(chunk), part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(part, shard).orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn(at, F.coalesce(F.sum(n).over(within), F.lit(0)))
+    placed = placed.join(starts.withColumnRenamed(part, part + "_"), placed[shard].eqNullSafe(F.col(chunk)) & (F.col(part) == F.col(part + "_")))
+    placed = materialize(placed.select(*keys, n, (F.col(at) + F.col(start)).alias(at)), "placed")
+    drop(ranged)
+    few = placed.where(F.col(n) <= SPREAD).select(*keys, F.explode(F.sequence(F.col(at), F.col(at) + F.col(n) - 1)).alias(out))
+    # A row that repeats without bound is written out by many tasks, SPREAD slots at a time.
+    many = placed.where(F.col(n) > SPREAD).withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(SPREAD).cast("long")))).repartition(*keys, chunk)
+    last = F.least(F.col(n), F.col(chunk) + SPREAD) - 1
+    return few.unionByName(many.select(*keys, F.explode(F.sequence(F.col(at) + F.col(chunk), F.col(at) + last)).alias(out)))
