@@ -42,6 +42,7 @@ def test_append_columns_takes_inputs_with_names_of_its_own(spark):
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_hot_keys_are_joined_apart(spark, monkeypatch, how):
     monkeypatch.setattr(_common, "FEW", 4)
+    monkeypatch.setattr(_common, "LIGHT", 8)
     keys = [1] * 50 + [2] * 30 + list(range(3, 20)) + [None] * 9 + [99]
     rows = spark.createDataFrame(list(enumerate(keys)), "id long, key long")
     table = spark.createDataFrame([(k, keys.count(k), f"v{k}") for k in set(keys) - {None, 99}], "key long, n long, value string")

@@ -96,6 +96,8 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 
 #: A key with more than this share of all rows is joined apart; of such there are fewer than FEW.
 FEW = 1024
+#: So few rows of a key are no burden to a task, and no table of as many needs to be split.
+LIGHT = 1024
 
 
 def join_hot(rows: DataFrame, table: DataFrame, on: str, weight: str, total: int, how: str = "inner") -> DataFrame:
@@ -106,11 +108,14 @@ def join_hot(rows: DataFrame, table: DataFrame, on: str, weight: str, total: int
     others are joined by a shuffle in which no key has more than that share of the rows,
     and rows without a value, which may be many, take no part in it.
     """
-    large = F.col(weight) * FEW > total
+    if total <= LIGHT:
+        return rows.join(table.drop(weight), on, how)
+    large = (F.col(weight) * FEW > total) & (F.col(weight) > LIGHT)
     hot, cold = table.where(large).drop(weight), table.where(~large).drop(weight)
+    (mark,) = fresh([*rows.columns, *table.columns], "_hot")
     held = rows.where(F.col(on).isNotNull())
-    rest = held.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, how)
-    both = held.join(F.broadcast(hot), on).unionByName(rest)
+    marked = held.join(F.broadcast(hot.select(on, F.lit(True).alias(mark))), on, "left").where(F.col(mark).isNull()).select(*rows.columns)
+    both = held.join(F.broadcast(hot), on).unionByName(marked.join(cold, on, how))
     if how == "left":
         added = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields if f.name not in (on, weight)]
         both = both.unionByName(rows.where(F.col(on).isNull()).select("*", *added))
