@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import queries, secrets
@@ -47,7 +50,7 @@ def _literals(text):
 def test_constants_are_propagated():
     text = 'KEY_PART = "a8Xk29sLq0"\nother = "Zz8Xk29sLq0"\nclient_secret = KEY_PART + "ef56Gh78zz"\n'
     assert _literals(text) == {"a8Xk29sLq0": "client_secret", "ef56Gh78zz": "client_secret"}
-    assert _literals('base: &x\nDB = \'q1W2e3R4t5\'\nexport DB_PASSWORD="${DB}"') == {}  # an interpolation in quotes is a literal of its own
+    assert _literals('base: &x\nDB = \'q1W2e3R4t5\'\nexport DB_PASSWORD="${DB}"') == {"q1W2e3R4t5": "DB_PASSWORD"}
 
 
 def test_syntaxes():
@@ -89,3 +92,98 @@ def test_subscripts_and_declared_types():
     assert _literals("api_key: dGhpc2lzYXNl1Y3Jl=") != {}
     secrets.find_spans("token: " + "a" * 200_000 + " a<" * 50_000)
     secrets.find_spans("token: " + "a b " * 100_000 + "token: a[" * 20_000)
+
+
+def test_names_that_stand_for_literals():
+    for text in (
+        "client_secret = part\npart = 'q1W2e3R4t5'",
+        'DB="q1W2e3R4t5"\nDB_PASSWORD="${DB}"',
+        "db = 'q1W2e3R4t5'\nauth_key = f'{db}'",
+        "db = 'q1W2e3R4t5'\nauth_key = 'x-%(db)s'",
+        "base: &cred q1W2e3R4t5\npassword: *cred",
+        "password: *cred\nbase: &cred 'q1W2e3R4t5'",
+        "a = 'q1W2e3R4t5'\nb = a\nc = b\nprivate_key = c",
+        "a = 'q1W2e3R4t5'\nprivate_key = private_key + a",
+        "x = 'q1W2e3R4t5'\nsecret=x+x",
+    ):
+        assert list(_literals(text)) == ["q1W2e3R4t5"], text
+    assert _literals("a = 'q1W2e3R4t5'\na = 'Zz9Yy8Xx7W'\npassword = a\na = 'other1234x'") == {"Zz9Yy8Xx7W": "password"}
+    assert _literals('password = "${DB_PASSWORD}"\nsecret: $OTHER_SECRET1') == {}  # names alone
+    assert _literals("password = a\na = b\nb = a") == {}
+
+
+def test_names_and_values_apart():
+    for text in (
+        "- name: DB_PASSWORD\n  value: q1W2e3R4t5",
+        '{"name": "db_password", "value": "q1W2e3R4t5"}',
+        '<add key="DbPassword" value="q1W2e3R4t5"/>',
+        "<config><db-password>q1W2e3R4t5</db-password></config>",
+        '<setting password="q1W2e3R4t5"/>',
+        '{"key": "API_KEY", "type": "plain", "value": "q1W2e3R4t5"}',
+    ):
+        assert list(_literals(text)) == ["q1W2e3R4t5"], text
+    assert _literals('{"name": "colour", "value": "q1W2e3R4t5"}') == {}
+
+
+def _statement(rng, names, i):
+    """One assignment, the literals in it, and the names that it refers to."""
+    literal = lambda: "".join(rng.choices("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMN23456789", k=rng.randrange(12, 20))) + "7"
+    name = rng.choice(["plain", "other", "item", "db_password", "client_secret", "auth_key", "authToken"]) + f"_{chr(97 + i % 26)}"
+    kind = rng.randrange(6)
+    if kind == 0:
+        return name, f'{name} = "{(x := literal())}"', [x], []
+    if kind == 1:
+        return name, f"{name}: '{(x := literal())}'", [x], []
+    if kind == 2:
+        return name, f"{name}={(x := literal())}", [x], []
+    other = rng.choice(names)
+    if kind == 3:
+        return name, f"{name} = {other}", [], [other]
+    if kind == 4:
+        return name, f'{name} = {other} + "{(x := literal())}"', [x], [other]
+    return name, f'export {name}="${{{other}}}"', [], [other]
+
+
+def test_literals_against_brute_force():
+    """Programs made from statements whose parts are known; reachability by plain recursion."""
+    for seed in range(300):
+        rng = random.Random(seed)
+        names = [f"{n}_{c}" for n in ("plain", "other", "item", "db_password") for c in "abcdefghij"]
+        program = [_statement(rng, names, i) for i in range(rng.randrange(1, 12))]
+        text = "\n".join(rng.choice(["", "  "]) + s[1] for s in program)
+
+        def stands_for(name, at):
+            before = [i for i in range(at) if program[i][0] == name]
+            after = [i for i in range(at + 1, len(program)) if program[i][0] == name]
+            return before[-1] if before else after[0] if after else None
+
+        def reach(i, seen):
+            if i in seen:
+                return set()
+            seen.add(i)
+            found = set(program[i][2])
+            for name in program[i][3]:
+                if (j := stands_for(name, i)) is not None:
+                    found |= reach(j, seen)
+            return found
+
+        want = set()
+        for i, (name, *_) in enumerate(program):
+            if any(w in name.lower() for w in ("password", "secret", "auth")):
+                want |= {x for x in reach(i, set()) if secrets.randomness(x) * 0.9 >= secrets.THRESHOLD}
+        unresolved = {x for i, s in enumerate(program) for x in s[2] if s[3] and stands_for(s[3][0], i) is None}
+        assert set(_literals(text)) - unresolved - set(names) == want - unresolved, text
+
+
+@pytest.mark.parametrize("text", ['password="' + "a=b.c+" * 170_000, "token=" * 170_000, "password = a + " * 70_000, "secret=x+" * 110_000, "token='\\'" * 100_000, "key: <" * 150_000 + "password", "auth_key=example" * 60_000, "a.token: str|" * 70_000, "name=token value=token " * 40_000])
+def test_time_is_linear(text):
+    secrets.find_spans(text[: len(text) // 50])
+    began = time.perf_counter()
+    secrets.find_spans(text)
+    assert time.perf_counter() - began < 8
+
+
+def test_clashing_and_repeated(spark):
+    rows = spark.createDataFrame([("token: abcdefghijkl", "a", "b")] * 2, "text string, _in_text string, _in_0 string")
+    found = secrets.redact(rows)
+    assert found.columns == rows.columns and [tuple(r) for r in found.collect()] == [("[SECRET]", "a", "b")] * 2

@@ -2,19 +2,23 @@
 
 The patterns give the base spans. The lexer reads source and configuration syntax
 (NAME = "literal", name: value, "name": "value", name => value, NAME := value,
-map["name"] = "value", name: Type = "value") into
-pairs of a name and the literals that its value is made of, follows references to
-names that were assigned before, and scores each literal by how sensitive the names
-are that it reaches and how random it looks. It adds spans of kind `literal`.
+map["name"] = "value", name: Type = "value", attributes and elements of XML, and entries
+that give a name and its value apart) into pairs of a name and a value. What a value is
+made of is followed: strings, names that are assigned elsewhere (the last assignment before
+counts, else the first one after), names inside a string ("${name}"), and anchors of
+YAML. Each literal takes the most sensitive name that it reaches, and is scored by that
+and by how random it looks. The lexer adds spans of kind `literal`.
 
 A null text counts as empty; an empty one has no spans. Spans are code points, the
-end exclusive. The whole text is scanned, in time linear in its length.
+end exclusive. The whole text is scanned, in time linear in its length: every place where
+a value can begin is read once, whatever the number of pairs that lead there.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +38,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.8, "credentials": 0.8, "accesskey": 0.9, "privatekey": 1.0, "secretkey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "authkey": 0.9}
 #: Words that say the name holds something about a secret and not the secret.
 BENIGN = {"count", "counts", "length", "len", "size", "limit", "max", "min", "type", "name", "field", "label", "hint", "policy", "expiry", "expires", "ttl", "url", "uri", "path", "file", "id", "ids", "index", "regex", "pattern", "format", "prompt", "placeholder", "enabled", "required", "version"}
-PLACEHOLDERS = re.compile(r"change.?me|example|placeholder|your|dummy|sample|redacted|xxxx|\*\*\*|<.*>|^(?:none|null|true|false|undefined)$", re.IGNORECASE)
+PLACEHOLDERS = re.compile(r"change.?me|example|placeholder|your|dummy|sample|redacted|xxxx|\*\*\*|<[^<>]*>", re.IGNORECASE)
+NOTHING = frozenset(("none", "null", "true", "false", "undefined"))
 #: Least product of the name's weight and the literal's randomness.
 THRESHOLD = 0.5
 MIN_LITERAL = 8
@@ -47,10 +52,15 @@ _PAIR = re.compile(r"""(?<![\w.$-])([A-Za-z_$][\w.$-]*)(?:["'][ \t]*\]|["'?!])?[
 _ONE_TYPE = r"(?:&[ \t]*(?:'[a-z]\w*[ \t]+)?)?[A-Za-z_][\w.]*+(?:[\[<][\w.,|&?*: \t\[\]<>]{1,200}[\]>])?+[?!]?(?:\[\])*+"
 _TYPE = re.compile(rf"{_ONE_TYPE}(?:[ \t]*\|[ \t]*{_ONE_TYPE}){{0,9}}+[ \t]*:?=(?![=>])[ \t]*", re.ASCII)
 _TYPES = frozenset("any char charsequence final none null object optional str string text undefined".split())
-_STRING = re.compile(r'''"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`''')
-_NAME = re.compile(r"\$\{([A-Za-z_][\w.]*)\}|\$?([A-Za-z_][\w.]*)(?![\w.+/=-])", re.ASCII)
+_STRING = re.compile(r'''"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`''')
+_PREFIX = re.compile(r"""[fFrRbBuU]{1,2}(?=["'])|&([A-Za-z_][\w-]*)[ \t]+""", re.ASCII)
+_NAME = re.compile(r"""\$\{([A-Za-z_][\w.]*)\}|\*([A-Za-z_][\w-]*)(?![\w-])|\$?([A-Za-z_][\w.]*+)(?![/=-])(?!\+(?![ \t]*["'`$A-Za-z_]))""", re.ASCII)
+_INSIDE = re.compile(r"\$\{([A-Za-z_][\w.]*)\}|#\{([A-Za-z_][\w.]*)\}|%\(([A-Za-z_]\w*)\)s|\$?\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)", re.ASCII)
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
 _PLUS = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'`$A-Za-z_])")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*)?>([^<>]+)</\1\s*>", re.ASCII)
+#: Names of pairs that hold another's name, and of those that hold its value.
+_NAMING, _VALUED = frozenset("name key id variable setting env".split()), frozenset("value val default content".split())
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", re.ASCII)
 
 Span = tuple[str, int, int, str, float]
@@ -65,14 +75,17 @@ def name_weight(name: str) -> float:
     return max([SENSITIVE.get(w, 0.0) for w in words + pairs], default=0.0)
 
 
+def _random(counts: Counter, n: int) -> float:
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values() if c)
+    mixed = any(k.isdigit() or not k.isalnum() for k, c in counts.items() if c)
+    return min(1.0, bits / 3.5) * (1.0 if mixed else 0.5)
+
+
 def randomness(literal: str) -> float:
     """0 to 1: bits of entropy per character against 3.5, with words alone counting half."""
-    if len(literal) < MIN_LITERAL or " " in literal or PLACEHOLDERS.search(literal):
+    if len(literal) < MIN_LITERAL or " " in literal or literal.lower() in NOTHING or PLACEHOLDERS.search(literal):
         return 0.0
-    n = len(literal)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    mixed = any(c.isdigit() for c in literal) or not literal.isalnum()
-    return min(1.0, bits / 3.5) * (1.0 if mixed else 0.5)
+    return _random(Counter(literal), len(literal))
 
 
 def base_spans(text: str) -> list[Span]:
@@ -85,43 +98,198 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end(), "", 1.0) for m in HEX.finditer(text)]
 
 
-def _value(text: str, at: int, constants: dict[str, tuple[tuple[int, int], ...]], bare: bool = True) -> tuple[tuple[int, int], ...]:
-    """Spans of the literals that the value at `at` is made of; a bare word is one if `bare`."""
-    parts: list[tuple[int, int]] = []
-    while True:
-        if m := _STRING.match(text, at):
-            parts.append(m.span(m.lastindex))
-        elif (m := _NAME.match(text, at)) and (known := constants.get(m[1] or m[2])):
-            parts += [p for p in known if p not in parts]
-        elif bare and not parts and (m := _BARE.match(text, at)):
-            return ((m.start(), m.end()),)
+class Lexer:
+    """The pairs of a text, what their values are made of, and the literals that sensitive names reach."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        #: Name, where the value begins, and where a type and what follows it begin (-1: no type).
+        self.pairs: list[tuple[str, int, int, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.held: dict[str, list[int]] = {}
+        self.targets: list[tuple[float, int, str, int]] = []
+        self.elements: list[tuple[float, int, str, tuple[int, int]]] = []
+        self.nodes: dict[int, tuple[str, tuple[int, int] | str, int]] = {}
+        self.unclosed: dict[str, int] = {}
+        self.run = (0, 0)
+        self.counted: tuple[int, int, Counter, int] = (0, 0, Counter(), -1)
+        self._read()
+
+    def _read(self) -> None:
+        for m in _PAIR.finditer(self.text):
+            at, typed = m.end(), -1
+            if self.text[m.end(1) : at].rstrip().endswith(":") and (found := _TYPE.match(self.text, at)):
+                typed = found.end()
+            if (prefix := _PREFIX.match(self.text, at)) and prefix[1]:
+                self._define("*" + prefix[1], at)
+            self.pairs.append((m[1], at, typed, m.start(1)))
+            i = len(self.pairs) - 1
+            if weight := name_weight(m[1]):
+                self.targets.append((weight, m.start(1), m[1], i))
+            if m[1].lower() not in _TYPES:  # a type is no constant
+                self._define(m[1], i)
+        for i, (name, at, _, begin) in enumerate(self.pairs):
+            if name.rpartition(".")[2].lower() in _NAMING:
+                value = next((j for j in (i + 1, i + 2) if j < len(self.pairs) and self.pairs[j][0].rpartition(".")[2].lower() in _VALUED), None)
+                if value is not None and (called := self._plain(at)):
+                    if weight := name_weight(called):
+                        self.targets.append((weight, begin, called, value))
+                    self._define(called, value)
+        for m in _ELEMENT.finditer(self.text):
+            if weight := name_weight(m[1]):
+                a, b = m.span(2)
+                a, b = a + len(m[2]) - len(m[2].lstrip()), b - len(m[2]) + len(m[2].rstrip())
+                self.elements.append((weight, m.start(), m[1], (a, b)))
+
+    def _define(self, name: str, pair: int) -> None:
+        """Anchors are held by where their value begins, names by their pair."""
+        place = pair if name[0] == "*" else self.pairs[pair][1]
+        before = self.places.setdefault(name, [])
+        if not before or place > before[-1]:
+            before.append(place)
+            self.held.setdefault(name, []).append(pair)
+        else:
+            at = bisect_left(before, place)
+            if before[at] != place:
+                before.insert(at, place)
+                self.held[name].insert(at, pair)
+
+    def _plain(self, at: int) -> str:
+        kind, what, _ = self.node(at)
+        span = what if kind == "string" else self._bare(at)
+        return self.text[slice(*span)] if span and span[1] - span[0] <= 200 else ""
+
+    def _bare(self, at: int) -> tuple[int, int] | None:
+        """The bare word from `at` on, behind an anchor; words that share their end are measured once."""
+        if prefix := _PREFIX.match(self.text, at):
+            at = prefix.end()
+        if not self.run[0] <= at < self.run[1]:
+            if not (m := _BARE.match(self.text, at)):
+                return None
+            self.run = m.span()
+        return at, self.run[1]
+
+    def node(self, at: int) -> tuple[str, tuple[int, int] | str, int]:
+        """What stands where a value begins or goes on: its kind, its span or name, and where it goes on (-1: nowhere)."""
+        if (known := self.nodes.get(at)) is not None:
+            return known
+        text, begin = self.text, at
+        if prefix := _PREFIX.match(text, at):
+            at = prefix.end()
+        mark = text[at : at + 1]
+        m = None
+        kind, what = "", ""
+        if mark and mark in "\"'`" and at >= self.unclosed.get(mark, -1):
+            if m := _STRING.match(text, at):
+                kind, what = "string", m.span(m.lastindex)
+            else:  # no such mark closes a string on the rest of this line
+                end = text.find("\n", at)
+                self.unclosed[mark] = end if end >= 0 else len(text)
+        elif m := _NAME.match(text, at):
+            kind, what = "name", m[1] or (m[2] and "*" + m[2]) or m[3]
+        follows = _PLUS.match(text, m.end()) if m else None
+        found = self.nodes[begin] = kind, what, follows.end() if follows else -1
+        return found
+
+    def _resolved(self, name: str, at: int) -> int | None:
+        """The pair (of an anchor: the place) that a name used at `at` stands for."""
+        if not (places := self.places.get(name)):
+            return None
+        i = bisect_left(places, at)
+        if i:
+            return self.held[name][i - 1]
+        later = bisect_right(places, at)
+        return self.held[name][later] if later < len(places) else None
+
+    def _score(self, a: int, b: int, bare: bool) -> float:
+        """randomness() of a span; of bare words with the same end, the characters are counted once."""
+        if not bare:
+            return randomness(self.text[a:b])
+        start, end, counts, placeholder = self.counted
+        if b == end and start <= a:
+            counts.subtract(self.text[start:a])
         else:
-            return tuple(parts)
-        if not (plus := _PLUS.match(text, m.end())):
-            return tuple(parts)
-        at = plus.end()
+            counts = Counter(self.text[a:b])
+            placeholder = max((m.start() + a for m in PLACEHOLDERS.finditer(self.text[a:b])), default=-1)
+        self.counted = a, b, counts, placeholder
+        if b - a < MIN_LITERAL or placeholder >= a or b - a <= 9 and self.text[a:b].lower() in NOTHING:
+            return 0.0
+        return _random(counts, b - a)
+
+    def literals(self, threshold: float) -> list[Span]:
+        """The literals that reach the threshold by the most sensitive name that leads to them, the first of equal ones."""
+        best: dict[tuple[int, int], tuple[float, str]] = {}
+        seen: set[tuple[int, int]] = set()
+        pairs, nodes = set(), set()
+
+        def judge(span: tuple[int, int], bare: bool) -> None:
+            if span not in seen:
+                seen.add(span)
+                if (score := weight * self._score(*span, bare)) >= threshold:
+                    best[span] = score, name
+
+        todo: list[tuple[int, int]] = []  # where a value goes on, and where it begins
+
+        def follow(target: str, head: int) -> bool:
+            found = self._resolved(target, head)
+            if found is None:
+                return False
+            if target[0] == "*":
+                todo.append((found, found))
+            elif found not in pairs:
+                pairs.add(found)
+                todo.extend(self._heads(found))
+            return True
+
+        for weight, _, name, target in sorted([*self.targets, *self.elements], key=lambda t: (-t[0], t[1])):
+            if isinstance(target, tuple):
+                judge(target, False)
+                continue
+            if target not in pairs:
+                pairs.add(target)
+                todo.extend(self._heads(target))
+            while todo:
+                at, head = todo.pop()
+                if at in nodes:
+                    continue
+                nodes.add(at)
+                kind, what, goes_on = self.node(at)
+                if kind == "string":
+                    inside = list(_INSIDE.finditer(self.text, *what))
+                    for m in inside:
+                        follow(next(g for g in m.groups() if g), head)
+                    # A string of nothing but names is none itself.
+                    if not inside or what[1] - what[0] - sum(m.end() - m.start() for m in inside) >= MIN_LITERAL:
+                        judge(what, False)
+                elif kind == "name" and follow(what, head):
+                    pass
+                elif kind == "name" and goes_on >= 0 and goes_on >= self._bare(at)[1]:
+                    pass  # a name that nothing is known of, and more behind it
+                else:
+                    if at == head and self.text[at : at + 1] != "$" and (span := self._bare(at)):
+                        judge(span, True)
+                    continue
+                if goes_on >= 0:
+                    todo.append((goes_on, head))
+        return [("literal", a, b, name, score) for (a, b), (score, name) in best.items()]
+
+    def _heads(self, pair: int) -> list[tuple[int, int]]:
+        """Where the value of a pair begins; behind a type that is declared, and in what looks like one, if there are digits in it."""
+        _, at, typed, _ = self.pairs[pair]
+        if typed < 0:
+            return [(at, at)]
+        kind, what, _ = self.node(typed)
+        if kind == "string" or kind == "name" and self._resolved(what, at) is not None:
+            return [(typed, typed)] + ([(at, at)] if any(map(str.isdigit, self.text[at:typed])) else [])
+        return [(at, at)]
 
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
-    """Literals that reach a sensitive name, directly or through constants."""
+    """Literals that reach a sensitive name, directly or through other names."""
     lower = text.lower()
     if not (any(stem in lower for stem in _STEMS) and _STEM.search(lower)):  # no name can be sensitive
         return []
-    constants: dict[str, tuple[tuple[int, int], ...]] = {}
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    for m in _PAIR.finditer(text):
-        literals = _value(text, m.end(), constants)
-        if m[0].rstrip().endswith(":") and (typed := _TYPE.match(text, m.end())) and (declared := _value(text, typed.end(), constants, bare=False)):
-            # What looks like a type may be a value, if there are digits in it.
-            literals = declared + tuple(x for x in literals if x not in declared and typed.start() <= x[0] < typed.end() and any(map(str.isdigit, text[slice(*x)])))
-        if m[1].lower() not in _TYPES:
-            constants[m[1]] = literals
-        if literals and (weight := name_weight(m[1])):
-            for span in literals:
-                score = weight * randomness(text[slice(*span)])
-                if score >= threshold and score > best.get(span, (0.0, ""))[0]:
-                    best[span] = (score, m[1])
-    return [("literal", a, b, name, score) for (a, b), (score, name) in best.items()]
+    return Lexer(text).literals(threshold)
 
 
 def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
@@ -144,7 +312,10 @@ SPANS = "secrets array<struct<kind:string,start:int,end:int,name:string,score:do
 
 
 def scan(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Add `secrets`: the spans of every text with kind, name and score. Keeps every row and column."""
+    """Add `secrets`: the spans of every text with kind, name and score.
+
+    Keeps every row, repeated ones too, and every column but one of that name.
+    """
 
     def run(texts: list[str | None]) -> dict[str, list]:
         return {"secrets": [[dict(zip(("kind", "start", "end", "name", "score"), s)) for s in find_spans(t, threshold)] for t in texts]}
