@@ -85,3 +85,45 @@ def test_tree_covers_and_halves():
         seen += 1
         todo += [(c, 0) for c in node.children]
     assert seen > 10
+
+
+def test_small_cells_with_few_centres_and_parallel_vectors(spark, monkeypatch):
+    """Two centres a split, visitors dealt over units, and vectors that no centre tells apart."""
+    monkeypatch.setattr(cover_tree, "CELL", 20)
+    monkeypatch.setattr(cover_tree, "CENTRES", 2)
+    monkeypatch.setattr(cover_tree, "VISITORS", 7)
+    rng = np.random.default_rng(8)
+    vectors = _cluster(rng, 50, 0.02) + [(np.array([1.0, 0.5] + [0.0] * 14) * (i + 1)).tolist() for i in range(60)] + [rng.normal(size=16).astype(np.float32).tolist() for _ in range(60)]
+    rows = [(i, v, 1) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert _rows(cover_tree.near_duplicates(df)) == _brute(rows)
+
+
+@pytest.mark.parametrize(("spread", "leaf", "descent"), [(0.01, 4, 10**9), (0.03, 4, 1), (0.06, 128, 1000)])
+def test_traversal_against_all_pairs(monkeypatch, spread, leaf, descent):
+    """Nodes taken whole, dense comparisons and descents give the same counts."""
+    monkeypatch.setattr(cover_tree, "LEAF", leaf)
+    monkeypatch.setattr(cover_tree, "DESCENT", descent)
+    rng = np.random.default_rng(3)
+    vectors = np.array(_cluster(rng, 300, spread) + _cluster(rng, 200, spread / 4) + [rng.normal(size=16).tolist() for _ in range(300)])
+    copies = rng.integers(1, 4, len(vectors))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    side = cover_tree.Side(np.arange(len(vectors)), copies, vectors)
+    links = cover_tree.Links(0.98)
+    links.traverse(side, side)
+    assert (side.links == near @ copies).all()
+    a, b = (cover_tree.Side(np.flatnonzero(m), copies[m], vectors[m]) for m in (np.arange(len(vectors)) % 3 == 0, np.arange(len(vectors)) % 3 > 0))
+    cover_tree.Links(0.98).traverse(a, b)
+    assert (a.links == near[np.ix_(a.ids, b.ids)] @ b.copies).all() and (b.links == near[np.ix_(b.ids, a.ids)] @ a.copies).all()
+    label = np.arange(len(vectors))
+    for x, y in links.edges:
+        label[label == label[x]] = label[y]
+    want = np.arange(len(vectors))
+    for _ in range(len(vectors)):
+        new = np.where(near, want[None, :], len(vectors)).min(axis=1)
+        if (np.minimum(want, new) == want).all():
+            break
+        want = np.minimum(want, new)
+    assert len(set(label)) == len(set(want))

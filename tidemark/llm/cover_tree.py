@@ -2,36 +2,41 @@
 
 Vectors with the same label are compared; on the unit sphere a cosine of at least c is a
 distance of at most sqrt(2 - 2c). The upper levels are built as tables: a group with more
-than CELL members is split by CENTRES of its members, each vector going to the nearest
-one, and a vector also visits a cell of a later centre while the bisector of the two is
-no farther than the threshold and the cell's covering radius allows a neighbour there.
+than CELL members is split by the CENTRES of its members that a hash puts first, each
+vector going to the nearest one (among equally near ones, to one by its hash), until no
+group is larger. A vector also visits a cell of a later centre while the bisector of the two
+is no farther than the threshold and the cell's covering radius allows a neighbour there.
 So each pair within the threshold meets in exactly one cell, the one that is home to the
 vector whose centre comes later. Inside a cell a cover tree with halving radii is
-traversed against itself and against the visitors: node pairs farther apart than their
-covering radii and the threshold are pruned, pairs that lie within it altogether are
-counted whole, and the others descend. What is left is compared by the exact cosine in
-double precision.
+traversed against itself and against the visitors, who are dealt over several tasks where
+they are many: node pairs farther apart than their covering radii and the threshold are
+pruned, pairs that lie within it altogether are counted whole, and the others descend.
+Where most of a pair of nodes would descend, and at the leaves, vectors are compared by
+the exact cosine in double precision.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialize
+from tidemark.llm._common import drop, join_hot, materialize
 from tidemark.llm.components import components
 
 COSINE = 0.98
-#: Members of a cell that one task holds, and the expected number of centres that split a larger one.
-CELL = 2048
+#: Members of a cell that one task holds, the centres that split a larger one, and a cell's visitors in one task.
+CELL = 8192
 CENTRES = 16
-#: Splits at most; each divides a cell's vectors by about CENTRES.
-LEVELS = 20
-LEAF = 32
+VISITORS = 4 * CELL
+LEAF = 128
+#: Compared pairs that take about as long as one pair of nodes that descends.
+DESCENT = 1000
+_ROWS = 512
 #: Room for rounding in every bound; pairs this near the threshold are always compared themselves.
 MARGIN = 1e-6
 
@@ -53,8 +58,7 @@ class Node:
 def build(points: np.ndarray) -> Node:
     """A cover tree of unit vectors: the children of a node cover its members at half the node's scale."""
     every = np.arange(len(points))
-    far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * points @ points[0]))
-    root = Node(0, float(far.max()), every)
+    root = Node(0, _distance((points @ points[0]).min()), every)
     todo = [(root, 2.0)]
     while todo:
         node, scale = todo.pop()
@@ -62,20 +66,29 @@ def build(points: np.ndarray) -> Node:
             continue
         while scale / 2 >= node.radius:
             scale /= 2
-        left = node.members
-        centre = node.centre
-        while len(left):
-            near = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * points[left] @ points[centre]))
-            inside = near <= scale / 2
-            inside |= left == centre
-            node.children.append(child := Node(int(centre), float(near[inside].max()), left[inside]))
-            todo.append((child, scale / 2))
-            left = left[~inside]
-            if len(left):
-                centre = left[0]
+        bound = 1.0 - (scale / 2) ** 2 / 2
+        left = np.concatenate([[node.centre], node.members[node.members != node.centre]])
+        step = LEAF // 4
+        while len(left):  # the next centre is the first that none covers; so many of them are compared at once
+            step = min(4 * LEAF, 2 * step)
+            cosines = points[left[:step]] @ points[left].T
+            free = np.ones(len(left), dtype=bool)
+            for b in range(len(cosines)):
+                if free[b]:
+                    inside = free & (cosines[b] >= bound)
+                    inside[b] = True
+                    free &= ~inside
+                    child = Node(int(left[b]), _distance(cosines[b][inside].min()), left[inside])
+                    node.children.append(child)
+                    todo.append((child, scale / 2))
+            left = left[free]
     return root
 
 
+def _distance(cosine: float) -> float:
+    return float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine)))
+
+
 def _open(node: Node, points: np.ndarray) -> tuple[list[Node], np.ndarray, np.ndarray]:
     """The nodes that stand for this one a level lower, their centres and radii; a leaf's are its members."""
     if not node.children:
@@ -99,10 +112,11 @@ class Links:
             self.parent[x] = x = self.parent[up]
         return x
 
-    def connect(self, a: int, b: int) -> None:
-        if (x := self._root(a)) != (y := self._root(b)):
-            self.parent[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
+    def connect(self, a: int, others: np.ndarray) -> None:
+        for b in others.tolist():
+            if (x := self._root(a)) != (y := self._root(b)):
+                self.parent[max(x, y)] = min(x, y)
+                self.edges.append((a, b))
 
     def traverse(self, a: Side, b: Side) -> None:
         """Link all pairs of a member of a and one of b; a is b to link a set with itself."""
@@ -114,46 +128,82 @@ class Links:
                 continue
             left, cx, rx = ([x], a.points[[x.centre]], np.array([x.radius])) if not x.children else _open(x, a.points)
             right, cy, ry = (left, cx, rx) if x is y else ([y], b.points[[y.centre]], np.array([y.radius])) if not y.children else _open(y, b.points)
-            for at in range(0, len(left), 512):
-                far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cx[at : at + 512] @ cy.T))
-                sums = rx[at : at + 512, None] + ry[None, :]
-                near = far <= self.reach + sums + MARGIN
-                if x is y:
-                    near &= np.arange(at, at + len(far))[:, None] <= np.arange(len(right))[None, :]
-                whole = far + sums <= self.reach - MARGIN
-                for i, j in np.argwhere(near):
-                    m, n = left[at + i], right[j]
-                    if whole[i, j] and m is not n:
-                        self._whole(a, m.members, b, n.members)
-                    elif m is n and 2 * m.radius <= self.reach - MARGIN:
-                        self._within(a, m.members)
-                    else:
-                        todo.append((m, n))
+            if (found := self._near(cx, rx, cy, ry, x is y, len(x.members) * len(y.members) // DESCENT)) is None:
+                self._compare(a, x.members, b, y.members, x is y)
+                continue
+            for i, j, whole in zip(*found):
+                m, n = left[i], right[j]
+                if m is n and len(m.members) == 1:
+                    continue
+                if whole and m is not n:
+                    self._whole(a, m.members, b, n.members)
+                elif m is n and 2 * m.radius <= self.reach - MARGIN:
+                    self._within(a, m.members)
+                else:
+                    todo.append((m, n))
+
+    def _near(self, cx: np.ndarray, rx: np.ndarray, cy: np.ndarray, ry: np.ndarray, same: bool, most: int) -> tuple[list, list, list] | None:
+        """Pairs of nodes that may hold links, and whether all of theirs are; None if there are too many to descend."""
+        rows, columns, wholes = [], [], []
+        count = 0
+        for at in range(0, len(cx), _ROWS):
+            far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (cx[at : at + _ROWS] @ cy.T)))
+            sums = rx[at : at + _ROWS, None] + ry[None, :]
+            near = far - sums <= self.reach + MARGIN
+            if same:
+                near &= np.arange(at, at + len(far))[:, None] <= np.arange(len(cy))[None, :]
+            i, j = np.nonzero(near)
+            count += len(i) - (len(far) if same else 0)
+            if count > most:
+                return None
+            rows += (i + at).tolist()
+            columns += j.tolist()
+            wholes += (far[i, j] + sums[i, j] <= self.reach - MARGIN).tolist()
+        return rows, columns, wholes
 
     def _whole(self, a: Side, x: np.ndarray, b: Side, y: np.ndarray) -> None:
         a.links[x] += b.copies[y].sum()
         b.links[y] += a.copies[x].sum()
-        for i in x:
-            self.connect(int(a.ids[i]), int(b.ids[y[0]]))
-        for j in y:
-            self.connect(int(a.ids[x[0]]), int(b.ids[j]))
+        self.connect(int(b.ids[y[0]]), a.ids[x])
+        self.connect(int(a.ids[x[0]]), b.ids[y])
 
     def _within(self, a: Side, x: np.ndarray) -> None:
         a.links[x] += a.copies[x].sum() - a.copies[x]
-        for i in x[1:]:
-            self.connect(int(a.ids[x[0]]), int(a.ids[i]))
+        self.connect(int(a.ids[x[0]]), a.ids[x[1:]])
 
     def _compare(self, a: Side, x: np.ndarray, b: Side, y: np.ndarray, same: bool) -> None:
-        for at in range(0, len(x), 512):
-            part = x[at : at + 512]
-            linked = (a.rows[part] @ b.rows[y].T) / (a.norms[part][:, None] * b.norms[y][None, :]) >= self.cosine
+        others, norms, copies = b.rows[y].T, b.norms[y], b.copies[y]
+        for at in range(0, len(x), _ROWS):
+            part = x[at : at + _ROWS]
+            linked = (a.rows[part] @ others) / (a.norms[part][:, None] * norms[None, :]) >= self.cosine
             if same:
                 linked[np.arange(len(part)), np.arange(at, at + len(part))] = False
-            a.links[part] += linked @ b.copies[y]
+            hit = np.flatnonzero(linked.any(axis=1))
+            if not len(hit):
+                continue
+            linked = linked[hit]
+            a.links[part[hit]] += linked @ copies
             if not same:
-                b.links[y] += a.copies[part] @ linked
-            for i, j in np.argwhere(linked):
-                self.connect(int(a.ids[part[i]]), int(b.ids[y[j]]))
+                b.links[y] += a.copies[part[hit]] @ linked
+            self._join(a.ids[part[hit]], b.ids[y], linked)
+
+    def _join(self, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> None:
+        """Connect what a matrix of links connects, by few edges."""
+        ids = np.concatenate([left, right])
+        label = np.arange(len(ids))
+        marked = np.zeros(len(ids), dtype=bool)
+        for r, row in enumerate(linked):
+            held = label[np.append(np.flatnonzero(row) + len(left), r)]
+            least = held.min()
+            if (held != least).any():
+                marked[held] = True
+                label[marked[label]] = least
+                marked[held] = False
+        changed = np.flatnonzero(label != np.arange(len(ids)))
+        order = changed[np.argsort(label[changed], kind="stable")]
+        cuts = np.flatnonzero(np.diff(label[order])) + 1
+        for group in np.split(order, cuts) if len(order) else []:
+            self.connect(int(ids[label[group[0]]]), ids[group])
 
 
 class Side:
@@ -172,75 +222,82 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _cells(cosine: float):
-    """Links inside each cell, from rows sorted by cell with those at home first."""
+    """Links inside each unit, a cell with some of its visitors, from rows sorted by unit with those at home first."""
     types = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, parts = None, []
+        unit, parts = None, []
+        first = False
         home: Side | None = None
         links = Links(cosine)
 
         def settle() -> Side:
-            """All of the cell's home vectors are here: link them."""
+            """All of the cell's home vectors are here: link them, in the first of its units."""
             ids, copies, rows = (np.concatenate(x) for x in zip(*parts))
             side = Side(ids, copies, rows)
-            links.traverse(side, side)
+            if first:
+                links.traverse(side, side)
             return side
 
-        def told(side: Side | None) -> pa.RecordBatch:
+        def told(side: Side) -> pa.RecordBatch:
             edges, links.edges = links.edges, []
-            ids, counts = ([], []) if side is None else (side.ids.tolist(), side.links.tolist())
+            some = np.flatnonzero(side.links)
+            ids, counts = side.ids[some].tolist(), side.links[some].tolist()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids + [e[0] for e in edges], [None] * len(ids) + [e[1] for e in edges], counts + [0] * len(edges))], schema=types)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells = batch.column(0).to_numpy()
+            units = batch.column(0).to_numpy()
             at_home = batch.column(1).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (at_home[1:] != at_home[:-1])) + 1
-            for begin, end in zip([0, *cuts], [*cuts, len(cells)]):
-                if cells[begin] != cell:
+            cuts = np.flatnonzero((units[1:] != units[:-1]) | (at_home[1:] != at_home[:-1])) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(units)]):
+                if units[begin] != unit:
                     if parts:
                         yield told(home or settle())
-                    cell, parts, home, links = cells[begin], [], None, Links(cosine)
+                    unit, parts, home, links = units[begin], [], None, Links(cosine)
+                    first = batch.column(2)[int(begin)].as_py()
                 part = batch.slice(begin, end - begin)
-                piece = part.column(2).to_numpy(), part.column(3).to_numpy(), _vectors(part.column(4))
+                piece = part.column(3).to_numpy(), part.column(4).to_numpy(), _vectors(part.column(5))
                 if at_home[begin]:
                     parts.append(piece)
-                elif parts:  # a cell without home vectors links nothing
+                else:
                     home = home or settle()
-                    for at in range(0, end - begin, CELL):
-                        visitors = Side(*(x[at : at + CELL] for x in piece))
-                        links.traverse(visitors, home)
-                        yield told(visitors)
+                    visitors = Side(*piece)
+                    links.traverse(visitors, home)
+                    yield told(visitors)
         if parts:
             yield told(home or settle())
 
     return run
 
 
-def _split(level: int, reach: float):
+def _split(level: int, reach: float, schema: pa.Schema):
     """Send the rows of a cell to the cells of its centres."""
 
-    def run(key, rows, centres):
-        import pandas as pd
-
-        if not len(rows):
-            return pd.DataFrame({c: [] for c in ("cell", "home", "cid", "copies", "vector", "far")})
-        centres = centres.drop_duplicates("cid").sort_values("cid")
-        vectors = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        points, middle = _unit(vectors), _unit(np.stack(centres["vector"].to_numpy()).astype(np.float64))
-        far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * points @ middle.T))
-        own = far.argmin(axis=1)
+    def run(key, rows: pa.Table, centres: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return schema.empty_table()
+        centres = centres.sort_by("cid")
+        points, middle = (_unit(_vectors(t.column("vector").combine_chunks())) for t in (rows, centres))
+        cosines = points @ middle.T
+        own = cosines.argmax(axis=1)
+        equal = cosines >= cosines[np.arange(len(own)), own, None] - 1e-12
+        for r in np.flatnonzero(equal.sum(axis=1) > 1):  # equally near centres share their vectors, or no split would end
+            among = np.flatnonzero(equal[r])
+            own[r] = among[hash_pair(level, rows.column("cid")[int(r)].as_py(), 0) % len(among)]
+        far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosines))
         apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * middle @ middle.T))
         # Distance to the bisector between the own centre and another one.
         bisector = (far**2 - far[np.arange(len(far)), own, None] ** 2) / np.maximum(2.0 * apart[own], 1e-12)
         goes = bisector <= reach + MARGIN
-        home = rows["home"].to_numpy()
+        home = rows.column("home").to_numpy(zero_copy_only=False)
         goes &= ~home[:, None] | (np.arange(len(middle))[None, :] >= own[:, None])
         row, to = np.nonzero(goes)
-        cells = np.array([hash_pair(int(rows["cell"].iloc[0]), level, c) for c in centres["cid"]], dtype=np.int64)
-        return pd.DataFrame({"cell": cells[to], "home": home[row] & (to == own[row]), "cid": rows["cid"].to_numpy()[row], "copies": rows["copies"].to_numpy()[row], "vector": rows["vector"].to_numpy()[row], "far": far[row, to]})
+        cells = np.array([hash_pair(key[0].as_py(), level, c) for c in centres.column("cid").to_pylist()], dtype=np.int64)
+        kept = rows.select(["cid", "copies", "vector"]).take(pa.array(row))
+        columns = [pa.array(cells[to]), pa.array(home[row] & (to == own[row])), *kept.columns, pa.array(far[row, to])]
+        return pa.table(columns, names=schema.names).cast(schema)
 
     return run
 
@@ -260,40 +317,55 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     label or no key, links with nothing. Repeated rows count as vectors of their own.
     Other columns are not kept.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     reach = float(np.sqrt(2.0 - 2.0 * cosine))
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     valid = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0), F.lit(False))
     classes = rows.where(valid).groupBy("label", "vector").agg(F.min("id").alias("rid"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
-    cells = classes.select(F.xxhash64("label", F.size("vector")).alias("cell"), F.lit(True).alias("home"), "cid", "copies", "vector")
+    n_classes = classes.count()
+    cells = classes.select(F.xxhash64("label", F.size("vector")).alias("cell"), F.lit(True).alias("home"), "cid", "copies", "vector", F.lit(0.0).alias("far"))
+    fields = cells.schema
     done: list[DataFrame] = []
-    for level in range(LEVELS):
-        large = cells.where("home").groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CELL)
-        large = materialize(large, "large")
-        if large.isEmpty():
+    scratch: list[DataFrame] = []
+    for level in itertools.count():
+        at_home = F.when(F.col("home"), 1)
+        info = cells.groupBy("cell").agg(F.count(at_home).alias("homes"), F.count(F.lit(1)).alias("all"), F.max(F.when(F.col("home"), F.col("far"))).alias("radius"))
+        info = materialize(info.where("homes > 0"), "info")  # a cell without home vectors links nothing
+        cells = join_hot(cells, info.withColumn("_n", F.col("all")), "cell", "_n", cells.count())
+        cells = cells.where(F.col("home") | (F.col("far") <= F.col("radius") + reach + MARGIN))
+        done.append(cells.where(F.col("homes") <= CELL))
+        scratch.append(info)
+        if info.where(F.col("homes") > CELL).isEmpty():
             break
-        done.append(cells.join(large, "cell", "left_anti"))
-        split = cells.join(large, "cell").withColumn("part", F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / CELL)))
-        drawn = split.where(F.col("home") & (F.pmod(F.xxhash64("cid", F.lit(level)), F.col("members")) < CENTRES))
-        drawn = drawn.select("cell", "cid", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / CELL) - 1)).alias("part"))
-        drawn = materialize(drawn, "centres")
-        fields = "cell long, home boolean, cid long, copies long, vector " + classes.schema["vector"].dataType.simpleString()
-        sent = split.groupBy("cell", "part").cogroup(drawn.groupBy("cell", "part")).applyInPandas(_split(level, reach), fields + ", far double")
-        sent = materialize(sent, "cells")
-        radii = sent.where("home").groupBy("cell").agg(F.max("far").alias("radius"))
-        cells = sent.join(radii, "cell").where(F.col("far") <= F.col("radius") + reach + MARGIN).drop("far", "radius")
-    for part in done:
-        cells = cells.unionByName(part)
-    dealt = cells.select("cell", "home", "cid", "copies", "vector").repartition("cell").sortWithinPartitions("cell", F.desc("home"))
+        split = cells.where(F.col("homes") > CELL).withColumn("part", F.pmod(F.xxhash64("cid"), F.ceil(F.col("all") / CELL)))
+        first = Window.partitionBy("cell").orderBy(F.xxhash64("cid", F.lit(level)), "cid")
+        drawn = split.where("home").select("cell", "cid", "vector", "all", F.row_number().over(first).alias("place")).where(F.col("place") <= CENTRES)
+        drawn = materialize(drawn.select("cell", "cid", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("all") / CELL) - 1)).alias("part")), "centres")
+        sent = split.groupBy("cell", "part").cogroup(drawn.groupBy("cell", "part")).applyInArrow(_split(level, reach, to_arrow_schema(fields)), fields)
+        cells = materialize(sent, "cells")
+        scratch += [drawn, cells]
+    for part in done[1:]:
+        done[0] = done[0].unionByName(part)
+    parts = F.greatest(F.ceil((F.col("all") - F.col("homes")) / VISITORS), F.lit(1).cast("long"))
+    part = F.explode(F.when(F.col("home"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), parts))))
+    dealt = done[0].withColumn("part", part).select(F.xxhash64("cell", "part").alias("unit"), "home", (F.col("part") == 0).alias("first"), "cid", "copies", "vector")
+    # So many partitions whatever their bytes: the work is in comparing.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(partitions, "unit").sortWithinPartitions("unit", F.desc("home"))
     found = materialize(dealt.mapInArrow(_cells(cosine), "a long, b long, links long"), "near")
+    drop(*scratch)
     links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
-    groups = components(found.select("a", "b")).withColumnRenamed("node", "cid")
-    linked = classes.join(links, "cid", "left").join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    groups = components(found.select("a", "b"))
+    linked = classes.join(links, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     linked = materialize(linked, "linked")
-    names = linked.groupBy("component").agg(F.min("rid").alias("component_id"))
-    linked = linked.join(names, "component").select("label", "vector", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = materialize(linked, "linked").withColumnsRenamed({"label": "_label", "vector": "_vector"})
-    joined = rows.withColumn("_valid", valid).join(linked, F.col("_valid") & (F.col("label") == F.col("_label")) & (F.col("vector") == F.col("_vector")), "left")
+    names = linked.groupBy("component").agg(F.min("rid").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    pair = F.struct("label", "vector").alias("pair")
+    named = join_hot(linked, names, "component", "_n", n_classes)
+    named = materialize(named.select(pair, "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("_n")), "named")
+    drop(found, groups, classes, linked)
+    joined = join_hot(rows.select("id", F.when(valid, pair).alias("pair")), named, "pair", "_n", rows.count(), "left")
     component = F.coalesce("component_id", "id")
     return joined.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
