@@ -76,3 +76,45 @@ def test_names_of_sections_of_an_article(name):
 @pytest.mark.parametrize("name", ["sidebar-left", "comment-list", "footer-inner", "related-posts", "site-header", "main-nav", "ad-slot-3", "skip-link"])
 def test_names_of_boilerplate(name):
     assert html_text.main_text(f'<div><p>{LONG}</p><p>{LONG}</p></div><div class="{name}"><p>{LONG}</p></div>') == f"{LONG}\n\n{LONG}"
+
+
+def test_only_whole_attributes_name_an_element():
+    for given in ('title="the hidden garden"', 'data-id="menu"', "data-x='class=sidebar'", 'aria-label="id=footer"', "title='role=navigation hidden'", "data-hidden"):
+        assert html_text.main_text(f"<article><p>{LONG}</p><div {given}><p>{LONG} again</p></div></article>") == f"{LONG}\n\n{LONG} again", given
+    for given in ("hidden", 'CLASS="sidebar"', "id=footer", "role = 'navigation'", "aria-hidden=true", 'style="display: none"'):
+        assert html_text.main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><div {given}><p>{LONG} again</p></div>") == f"{LONG}\n\n{LONG}", given
+
+
+@pytest.mark.parametrize("name", ["side-effects", "related-work", "notice", "comments", "menu", "popular-search"])
+def test_ids_made_from_headings(name):
+    for tag in ("h2", "p", "li"):
+        assert html_text.main_text(f"<article><p>{LONG}</p><{tag} id={name}>Title</{tag}><p>{LONG}</p></article>") == f"{LONG}\n\nTitle\n\n{LONG}"
+
+
+def test_formulas_drawings_and_stand_ins():
+    assert html_text.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be, and so on.</p></article>") == "Let x=1 be, and so on."
+    assert html_text.main_text("<article><p>See <svg viewBox='0 0 1 1'><title>icon</title><path d='M0'/><text>here</text></svg>, then go.</p></article>") == "See here, then go."
+    assert html_text.main_text(f"<article><p>{LONG}</p><object data=x><p>Instead, this text.</p></object><noscript><p>Or this text.</p></noscript></article>") == f"{LONG}\n\nInstead, this text.\n\nOr this text."
+    assert html_text.main_text(f"<noscript>Please switch scripts on, as this page needs them.</noscript><div><p>{LONG}</p></div>") == LONG
+
+
+def test_ratios_decide(monkeypatch):
+    """With the ratios taken away, link lists inside and teasers outside are not told from text."""
+    body = "".join(f"<p>{LONG} {i}</p>" for i in range(6))
+    teasers = "".join("<div><span>More news</span></div>" for _ in range(6))
+    page = f"<body><section>{teasers}</section><section>{body}</section></body>"
+    text = "\n\n".join(f"{LONG} {i}" for i in range(6))
+    assert html_text.main_text(page) == text
+    monkeypatch.setattr(html_text, "SHARE", 0.0)
+    assert html_text.main_text(page) != text
+
+
+def test_pages_whose_article_has_no_name(spark):
+    """The table's pages with the article element made a plain one."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()
+    wrong = 0
+    for r in pages:
+        inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in re.split("</?(?:p|h1)>", inside)]
+        wrong += html_text.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")) != "\n\n".join(x for x in parts if x)
+    assert wrong <= 0.02 * len(pages)

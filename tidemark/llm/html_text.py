@@ -27,13 +27,17 @@ from pyspark.sql import DataFrame
 from tidemark.llm._common import append_columns
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'][^\s]*)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements whose content isn't markup; all of it is skipped.
-RAW = frozenset("script style title textarea iframe noembed noframes xmp svg math template object".split())
-BOILERPLATE = frozenset("head nav header footer aside form menu button select label noscript dialog input".split())
+#: Elements whose content isn't markup or isn't shown; all of it is skipped.
+RAW = frozenset("script style title textarea iframe noembed noframes template annotation annotation-xml metadata desc".split())
+BOILERPLATE = frozenset("head nav header footer aside form menu button select label dialog input".split())
+#: Elements that close themselves by a slash, as all do inside them.
+FOREIGN = ("svg", "math")
+#: Blocks of text, whose ids are often made from what they say.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd th td pre blockquote figcaption caption".split())
 CONTENT = frozenset(("article", "main"))
 #: Blocks that hold text and stand in a container.
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption ul ol dl table tbody thead".split())
@@ -136,6 +140,8 @@ def blocks(page: str) -> tuple[list[Block], dict[int, int], dict[int, tuple[int,
         at = m.end()
         if not (tag := (m[2] or "").lower()):
             continue
+        if m[3] and m[3].endswith("/") and any(map(opened.get, FOREIGN)):
+            continue
         block = tag in BLOCK
         if block:
             flush()
@@ -170,22 +176,22 @@ def blocks(page: str) -> tuple[list[Block], dict[int, int], dict[int, tuple[int,
                     close(len(stack) - 1)
         _, above, container, out, inside, mark, _ = stack[-1]
         names = ""
-        hidden = False
+        hidden = main = False
         if m[3] and not m[3].isspace():
+            given: dict[str, str] = {}
             for a in _ATTRIBUTE.finditer(m[3]):
-                value = a[2] or a[3] or a[4] or ""
-                kind = a[1].lower()
-                if kind in ("class", "id", "role"):
-                    names += " " + value.lower()
-                else:
-                    hidden |= kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and bool(re.search(r"display\s*:\s*none", value))
+                given.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+            names = " ".join(given[k].lower() for k in ("class", "id", "role") if k in given and (k != "id" or tag not in TEXT))
+            hidden = "hidden" in given or given.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", given.get("style", "")))
+            main = "main" in given.get("role", "").lower().split()
         count += 1
         key = (above, f"{tag}.{names.strip()}")
         path = paths.setdefault(key, len(paths) + 1)
-        content = tag in CONTENT or " main" in names and "role" in m[3]
+        content = tag in CONTENT or main
         # Only blocks are marked by class: an inline mark may be named anything.
         says = naming(names) if block and names and tag not in ("body", "html") else 0
-        out = out or hidden or tag in BOILERPLATE or tag in CONTENT and says == 3
+        # What stands in for scripts is a notice, but for what it stands in for within an article.
+        out = out or hidden or tag in BOILERPLATE or tag == "noscript" and not inside or tag in CONTENT and says == 3
         if says and not out and tag not in CONTENT:
             marks[count] = mark, says
             mark = count
@@ -270,6 +276,7 @@ def main_text(page: str | None) -> str:
 def extract(df: DataFrame, page: str = "html", text: str = "text") -> DataFrame:
     """Add the main text of every page; empty where there is none, as for a null page.
 
-    Keeps every row and column; a column with the name of `text` is replaced.
+    Keeps every row, repeated ones too, and every column; one with the name of `text` is
+    replaced. A page of any length is read whole.
     """
     return append_columns(df, [page], lambda pages: {text: [main_text(p) for p in pages]}, f"`{text}` string", rows=64)
