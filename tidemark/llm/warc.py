@@ -16,12 +16,18 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark.llm._common import map_rows
 
@@ -34,6 +40,8 @@ _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|dd|
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
 _LINK = re.compile(r"""<a\b[^<>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Bytes of a file that are read, and unzipped, at once.
+_PIECE = 1 << 20
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -54,7 +62,7 @@ def decoded(payload: bytes, content_type: str) -> str:
     found = _CHARSET.search(content_type) or _CHARSET.search(payload[:2048].decode("latin-1"))
     try:
         return payload.decode(found[1] if found else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, ValueError):  # no such charset, or one that can't replace what it can't read
         return payload.decode("utf-8", "replace")
 
 
@@ -101,38 +109,100 @@ def serialized(headers: dict[str, str], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}\r\n".encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and blocks of a WARC file's records, gzipped or not; a cut last record is left out."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (begin := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", begin)
-        if end < 0:
+def _unzipped(stream: BinaryIO) -> Iterator[bytes]:
+    """The bytes of a file of gzip members, or of a plain one, a piece at a time, up to where it is cut or damaged."""
+    data = stream.read(_PIECE)
+    if data[:2] != b"\x1f\x8b":
+        while data:
+            yield data
+            data = stream.read(_PIECE)
+        return
+    member = zlib.decompressobj(31)
+    while data:
+        try:
+            out = member.decompress(data, _PIECE)
+        except zlib.error:
             return
-        lines = data[begin:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, c, v in (x.partition(":") for x in lines) if c}
-        length = int(headers.get("Content-Length", "0"))
-        block = data[end + 4 : end + 4 + length]
-        if len(block) < length:
+        if out:
+            yield out
+        if member.eof:
+            data = member.unused_data.lstrip(b"\0") or stream.read(_PIECE)
+            member = zlib.decompressobj(31)
+        else:
+            data = member.unconsumed_tail or stream.read(_PIECE)
+
+
+def records(source: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and blocks of a WARC file's records, gzipped or not, one in memory at a time.
+
+    What is cut or damaged at the file's end is left out. A record whose length is
+    missing or no number ends where the next one begins.
+    """
+    pieces = _unzipped(io.BytesIO(source) if isinstance(source, bytes) else source)
+    held = bytearray()
+
+    def more() -> bool:
+        if (piece := next(pieces, None)) is None:
+            return False
+        held.extend(piece)
+        return True
+
+    def find(what: bytes, at: int = 0) -> int:
+        """Where `what` begins, reading on until it is there; -1 if it isn't."""
+        while (found := held.find(what, at)) < 0:
+            at = max(at, len(held) - len(what) + 1)
+            if not more():
+                return -1
+        return found
+
+    while (begin := find(b"WARC/")) >= 0:
+        del held[:begin]
+        if (end := find(b"\r\n\r\n")) < 0:
             return
-        yield headers, block
-        at = end + 4 + length
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:]
+        headers = {k.strip(): v.strip() for k, c, v in (x.partition(":") for x in lines) if c}
+        length = next((v for k, v in headers.items() if k.lower() == "content-length"), "")
+        if length.isascii() and length.isdigit():
+            stop = end + 4 + int(length)
+            while len(held) < stop and more():
+                pass
+            if len(held) < stop:
+                return
+        elif (stop := find(b"\r\n\r\nWARC/", end)) < 0:
+            stop = max(end + 4, len(held) - 4 if held.endswith(b"\r\n\r\n") else len(held))
+        yield headers, bytes(held[end + 4 : stop])
+        del held[:stop]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files as rows of RECORD; a file is read whole by one task."""
-    files = spark.read.format("binaryFile").load(path)
+    """The records of WARC files as rows of RECORD; a file is read by one task, a record at a time.
 
-    def parse(columns: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("record_type", "record_id", "target_uri", "date", "headers", "block")}
-        for data in columns["content"]:
-            for headers, block in records(data):
-                for k, v in zip(out, (headers.get("WARC-Type"), headers.get("WARC-Record-ID"), headers.get("WARC-Target-URI"), headers.get("WARC-Date"), headers, block)):
-                    out[k].append(v)
-        return out
+    Files in a store that Arrow knows are opened as streams, whatever their size; others
+    come through Spark, which holds the (gzipped) bytes of one and takes files of up to 2 GB.
+    """
+    import pyarrow.fs as fs
 
-    return map_rows(files, ["content"], parse, RECORD, rows=1)
+    files = spark.read.format("binaryFile").load(path)
+    try:
+        streams = fs.FileSystem.from_uri(spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(path)).toString()) is not None
+    except Exception:  # a scheme that Arrow doesn't know, or a store that it can't reach
+        streams = False
+    column = "path" if streams else "content"
+    target = to_arrow_schema(StructType.fromDDL(RECORD))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                if streams:
+                    store, name = fs.FileSystem.from_uri(value.as_py())
+                    source = store.open_input_stream(name, compression=None)
+                else:
+                    source = value.as_py()
+                for headers, block in records(source):
+                    row = [headers.get("WARC-Type"), headers.get("WARC-Record-ID"), headers.get("WARC-Target-URI"), headers.get("WARC-Date"), list(headers.items()), block]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, target)], schema=target)
+
+    return files.select(column).mapInArrow(parse, RECORD)
 
 
 def page_responses(pages: DataFrame, url: str, page: str, date: Column, identity: Column) -> DataFrame:
@@ -149,8 +219,10 @@ def page_responses(pages: DataFrame, url: str, page: str, date: Column, identity
 def derivatives(responses: DataFrame, key: str | None = None) -> DataFrame:
     """Rows of RECORD for the metadata and conversion records of all responses.
 
-    `key`, if given, is a column whose value each derived record keeps. A response
-    without an id is named by the digest of its block, target and date.
+    `key`, if given, is a column whose value each derived record keeps; other columns are
+    not kept. A response without an id is named by the digest of its block, target and date.
+    Repeated responses each give their own records, which are equal; a block of any length
+    is read whole; an empty table gives none.
     """
     names = ["record_id", "target_uri", "date", "headers", "block"]
     rows = responses.where(F.col("record_type") == "response").withColumn("headers", F.map_entries("headers"))
