@@ -37,9 +37,6 @@ def test_edges(spark):
     got = sorted(map(tuple, bit_sliced.top_k(df, df.where("vec_id % 50 = 0")).collect()))
     assert got == _brute(rows, {0, 50, 100})
     assert bit_sliced.top_k(df.limit(0), df.limit(0)).count() == 0
-    with pytest.raises(Exception, match="exceeds"):
-        large = spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<float>")
-        bit_sliced.top_k(large, large).collect()
 
 
 def test_bitmap_arithmetic():
@@ -49,3 +46,24 @@ def test_bitmap_arithmetic():
     score, offset = bit_sliced.score_slices(slices, least, query)
     plain = sum(np.unpackbits(p.view(np.uint8), bitorder="little")[:130].astype(np.int64) << i for i, p in enumerate(score))
     assert (plain - offset == rows @ query).all()
+
+
+def test_large_components_are_exact(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** rng.integers(-2, 6, 3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, bit_sliced.top_k(df, df.where("vec_id % 3 = 0")).collect()))
+    assert got == _brute(rows, set(range(0, 90, 3)))
+
+
+def test_only_what_leaves_64_bits_is_an_error(spark):
+    def top(*rows):
+        df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+        return sorted(map(tuple, bit_sliced.top_k(df, df).collect()))
+
+    big = 2.0**54  # scaled: 2 ** 62
+    assert top([big], [1 / 256], [-1 / 256]) == [(0, 1, 1, 2**62), (0, 2, 2, -(2**62)), (1, 1, 0, 2**62), (1, 2, 2, -1), (2, 1, 1, -1), (2, 2, 0, -(2**62))]
+    with pytest.raises(Exception, match="64 bits"):
+        top([big], [2 / 256])
+    with pytest.raises(Exception, match="64 bits"):
+        top([2.0**56], [0.0])

@@ -15,25 +15,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialize
+from tidemark.llm._common import drop, materialize
 
 SCALE = 256
 TOP = 5
 #: Rows of a block of the index, and queries that one task answers on a block at most.
 BLOCK = 16384
 QUERIES = 2048
-#: Largest size of a scaled component, so that scores of thousands of components fit 64 bits.
-LIMIT = 1 << 24
 _ONE = np.uint64(1)
 
 
 def build(rows: np.ndarray) -> tuple[np.ndarray, int, int]:
     """Slices of integer vectors (components x bits x words), bits of a component, and the least value."""
     least = int(rows.min()) if rows.size else 0
-    bits = max(1, int(rows.max() - least).bit_length()) if rows.size else 1
+    bits = max(1, (int(rows.max()) - least).bit_length()) if rows.size else 1
     words = -(-len(rows) // 64)
     padded = np.zeros((words * 64, rows.shape[1]), dtype=np.uint64)
-    padded[: len(rows)] = (rows - least).astype(np.uint64)
+    padded[: len(rows)] = rows.astype(np.uint64) - np.uint64(least % (1 << 64))  # unsigned, so no range is too wide
     out = np.empty((rows.shape[1], bits, words), dtype=np.uint64)
     for bit in range(bits):
         plane = ((padded.T >> np.uint64(bit)) & _ONE).astype(np.uint8)
@@ -47,7 +45,7 @@ def score_slices(slices: np.ndarray, least: int, query: np.ndarray) -> tuple[np.
     top = (1 << bits) - 1
     size = np.abs(query)
     negative = query < 0
-    offset = int((size[negative] * (top + least)).sum()) - int((size[~negative] * least).sum())
+    offset = sum(size[negative].tolist()) * (top + least) - sum(size[~negative].tolist()) * least
     out: list[np.ndarray] = []
     carried = np.zeros((0, words), dtype=np.uint64)
     weight = 0
@@ -109,10 +107,12 @@ def search(slices: np.ndarray, least: int, ids: np.ndarray, queries: np.ndarray,
         for at in range(*np.searchsorted(ids, [name, name + 1])):
             rows[at // 64] &= ~(_ONE << np.uint64(at % 64))
         found = top_rows(score, rows, k)
-        values = np.zeros(len(found), dtype=np.int64)
-        for i, piece in enumerate(score):
-            values += ((piece[found // 64] >> (found % 64).astype(np.uint64)) & _ONE).astype(np.int64) << i
-        out += [(int(name), int(ids[r]), int(v) - offset) for r, v in zip(found, values)]
+        digits = (score[:, found // 64] >> (found % 64).astype(np.uint64)) & _ONE
+        for r, column in zip(found.tolist(), digits.T):
+            value = sum(1 << i for i in np.flatnonzero(column).tolist()) - offset
+            if not -(1 << 63) <= value < 1 << 63:
+                raise OverflowError(f"the score {value} of {name} and {ids[r]} exceeds 64 bits")
+            out.append((int(name), int(ids[r]), value))
     return out
 
 
@@ -122,21 +122,22 @@ def top_k(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     `queries` is a subset of rows with df's columns; a row with the query's own id is no
     candidate of it. Ties go to the smaller id. Vectors that are null, empty or hold a
     null or a value that isn't finite, and rows without a key, take no part; vectors of
-    different lengths don't meet. A scaled component beyond LIMIT is an error. Repeated
+    different lengths don't meet. Slices are as many as the components need; what is an
+    error is a score among the k best, or a scaled component, that 64 bits can't hold. Repeated
     queries are answered once. Other columns are not used.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
     def scaled(table: DataFrame) -> DataFrame:
         table = table.where(F.col(key).isNotNull() & (F.size(vector) > 0) & F.forall(vector, finite))
-        large = F.raise_error(F.lit(f"a scaled component exceeds {LIMIT}"))
-        number = lambda x: F.when(F.abs(x * scale) > LIMIT, large.cast("double")).otherwise(F.floor(x.cast("double") * scale)).cast("int")
+        large = F.raise_error(F.lit("a scaled component exceeds 64 bits"))
+        number = lambda x: F.when(F.abs(x.cast("double") * scale) >= 2.0**63, large.cast("long")).otherwise(F.floor(x.cast("double") * scale))
         return table.select(F.col(key).cast("long").alias("id"), F.transform(vector, number).alias("v"), F.size(vector).alias("dim"))
 
-    rows = materialize(scaled(df).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = rows_table = materialize(scaled(df).withColumn("_row", F.monotonically_increasing_id()), "rows")
     wanted = materialize(scaled(queries).dropDuplicates(["id", "v"]), "queries")
     counts = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    counts = counts.withColumn("blocks", F.col("blocks").cast("long"))
+    counts = materialize(counts.withColumn("blocks", F.col("blocks").cast("long")), "blocks")
     asked = wanted.count()
     blocks = rows.join(counts, "dim").withColumn("block", F.pmod(F.xxhash64("_row"), F.col("blocks")))
 
@@ -147,6 +148,7 @@ def top_k(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
 
     stored = blocks.select("dim", "block", "id", "v", "_row").groupBy("dim", "block").applyInPandas(index, "dim int, block long, ids binary, slices binary, bits int, least long")
     stored = materialize(stored, "slices")
+    drop(rows_table)
     # Enough groups of queries to keep all cores busy, and none too large for a task.
     cores = df.sparkSession.sparkContext.defaultParallelism
     groups = max(1, -(-asked // QUERIES), min(-(-2 * cores // max(1, stored.count())), -(-asked // 32)))
