@@ -71,3 +71,25 @@ def test_shared_prefix_and_lossy_text(spark):
     rows = spark.createDataFrame([(a if a is None else bytearray(a), bytearray(b)) for a, b, _ in pairs], "a binary, b binary")
     assert [r[0] for r in rows.select(encoding.shared_prefix(F.col("a"), F.col("b"))).collect()] == [n for *_, n in pairs]
     assert spark.range(1).select(encoding.text(F.lit(bytearray(b"a\xffb")))).first()[0] == "a�b"
+
+
+def test_filters_as_relations(spark):
+    members = spark.range(700).select((F.col("id") % 2).alias("g"), F.concat(F.lit("key"), F.col("id").cast("string")).alias("key"))
+    words = bloom.words(members, ["g"], "key", 0.05)
+    built = {r.g: r for r in bloom.build(members, ["g"], "key", 0.05).collect()}
+    data = {r.g: bytes(r.data) for r in bloom.encoded(words, ["g"]).collect()}
+    assert data == {g: bloom.to_bytes(r.k, r.m, r.words) for g, r in built.items()}
+    again = bloom.decoded(bloom.encoded(words, ["g"]), ["g"])
+    pick = lambda d: sorted((r.g, r.k, r.m, r.word, r.bits) for r in d.select("g", "k", "m", "word", "bits").collect())
+    assert pick(again) == pick(words)
+    probes = members.union(spark.range(700, 1400).select(F.lit(0).cast("long"), F.concat(F.lit("key"), F.col("id").cast("string")))).union(spark.createDataFrame([(5, "x")], "g long, key string"))
+    got = {(r.g, r.key): r.passes for r in bloom.passes(probes, words, ["g"], "key").collect()}
+    single = probes.distinct().join(bloom.build(members, ["g"], "key", 0.05), "g").select("g", "key", bloom.contains(F.col("key"), F.col("k"), F.col("m"), F.col("words")).alias("p")).collect()
+    assert got == {(r.g, r.key): r.p for r in single} | {(5, "x"): False}
+    cut = spark.createDataFrame([(1, bytearray(b"short"))], "g long, data binary")
+    assert bloom.decoded(cut, ["g"]).count() == 0
+
+
+def test_varint_of_32_bits(spark):
+    rows = spark.createDataFrame([(bytearray(b),) for b in (b"\xff\xff\xff\xff\x0f", b"\xff\xff\xff\xff\x7f", b"\x80\x80\x80\x80\x80\x01", b"\x80", b"\x05")], "b binary")
+    assert [r[0] for r in rows.select(varint.decode(F.col("b"), 32)).collect()] == [2**32 - 1, 2**32 - 1, None, None, 5]

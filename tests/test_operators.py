@@ -138,3 +138,36 @@ def test_policy():
     assert policy.next_level(held(1, 1, 10 * 2**20), 0) is None and policy.next_level(held(1, 1, 10 * 2**20 + 1), 0) == 1
     assert policy.next_level(held(2, 1, 10 * 2**20 + 1), 1) is None
     assert policy.next_level(held(6, 9, 2**60), 5) is None
+
+
+def test_prefix_sums_over_ranges(spark):
+    rows = spark.range(2000).select((F.col("id") % 2).alias("g"), F.lpad((F.col("id") * 7919 % 2000).cast("string"), 5, "0").alias("k"), (F.col("id") % 13).alias("n"))
+    found = runs.prefix_sums(rows.repartition(7), ["g"], ["k"], F.col("n")).collect()
+    sums = {}
+    for r in sorted(found, key=lambda r: (r.g, r.k)):
+        assert r.before == sums.get(r.g, 0)
+        sums[r.g] = r.before + r.n
+    assert len(found) == 2000 and runs.prefix_sums(rows.limit(0), ["g"], ["k"], F.col("n")).count() == 0
+
+
+def test_running_last_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(runs, "BUCKET", 5)
+    data = [(i, None if i % 4 == 0 else f"g{i % 3}", f"v{i}" if i % 7 == 0 else None) for i in range(60)]
+    rows = spark.createDataFrame(data, "at long, g string, v string")
+    last, want = {}, {}
+    for at, g, v in data:
+        last[g] = v if v is not None else last.get(g)
+        want[at] = last[g]
+    assert {r.at: r.last for r in runs.running_last(rows, ["g"], "at", F.col("v")).collect()} == want
+
+
+def test_overlaps_by_a_sweep(spark):
+    ranges = [(i, f"{i * 7 % 50:02d}", f"{min(99, i * 7 % 50 + i % 9):02d}") for i in range(40)]
+    found = {r.run_id: r.overlaps for r in runs.overlaps(spark.createDataFrame(ranges, "run_id long, lo string, hi string")).collect()}
+    assert found == {i: sum(1 for j, a, b in ranges if i != j and lo <= b and a <= hi) for i, lo, hi in ranges}
+
+
+def test_merge_edits(spark):
+    live = spark.createDataFrame([(0, 5), (0, 6), (1, 4)], "level int, run_id long")
+    assert sorted(tuple(r) for r in manifest.merge_edits(live, 0, 9).collect()) == [(1, 1, 9), (2, 0, 5), (2, 0, 6)]
+    assert manifest.merge_edits(live, 3, 9).count() == 0

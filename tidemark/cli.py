@@ -9,10 +9,10 @@ import sys
 import time
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.runs import running_total
+from tidemark.operators.runs import running_last, running_total
 from tidemark.table import Table
 
 # Commands and their other names.
@@ -52,8 +52,7 @@ def run_script(script: DataFrame, line_no: str = "line_no", line: str = "line")
     # A change is seen by gets of its key up to the next clear: the clears before a line say which part it is in.
     rows = running_total(rows, "line_no", F.when(F.col("command") == "clear", 1).otherwise(0), "part")
     change = F.when(F.col("command") == "put", F.col("value")).when(F.col("command") == "delete", "")
-    before = Window.partitionBy("key", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.where("command IN ('put', 'delete', 'get')").withColumn("value", F.last(change, ignorenulls=True).over(before))
+    rows = running_last(rows.where("command IN ('put', 'delete', 'get')"), ["key", "part"], "line_no", change, "value")
     return rows.where("command = 'get'").select("line_no", "key", F.when(F.col("value") != "", F.col("value")).alias("value"))
 
 

@@ -23,7 +23,10 @@ def encode(value: Column) -> Column:
 
 
 def decode(data: Column, width: int = 64) -> Column:
-    """The first integer in binary data; null if it is cut off or longer than the width allows."""
+    """The first integer in binary data; null if it is cut off or longer than the width allows.
+
+    Of a longest encoding, bits beyond the width are dropped.
+    """
     most = 5 if width == 32 else 10
     digits = F.transform(F.sequence(F.lit(1), F.least(F.octet_length(data), F.lit(most))), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
     digits = F.when(F.octet_length(data) > 0, digits).otherwise(F.array().cast("array<long>"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans import scratch
+
 #: Sequence numbers in a bucket of the running totals, and buckets in a bucket of buckets.
 BUCKET = 1 << 16
 
@@ -28,6 +30,42 @@ def running_total(rows: DataFrame, order: str, amount: Column, out: str = "befor
     return rows.withColumn(out, F.col("_far") + F.col("_near") + F.col("_own")).drop("_amount", "_b", "_bb", "_far", "_near", "_own")
 
 
+def running_last(rows: DataFrame, by: list[str], order: str, value: Column, out: str = "last") -> DataFrame:
+    """Add the newest `value` that isn't null of each group, up to and with the row.
+
+    Only within a bucket of `order` are a group's rows sorted; what a bucket ends with is
+    carried on from bucket to bucket, so a busy group is no single task's.
+    """
+    rows = rows.withColumn("_value", value).withColumn("_b", F.floor(F.col(order) / BUCKET))
+    within = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(*by, "_b").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_end"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    same = F.lit(True)
+    for c in [*by, "_b"]:
+        ends = ends.withColumnRenamed(c, "_e" + c)
+        same = same & F.col(c).eqNullSafe(F.col("_e" + c))
+    found = rows.withColumn("_own", F.last("_value", ignorenulls=True).over(within)).join(ends, same)
+    return found.withColumn(out, F.coalesce("_own", "_carried")).drop("_value", "_b", "_own", "_carried", *["_e" + c for c in [*by, "_b"]])
+
+
+def prefix_sums(rows: DataFrame, by: list[str], order: list[str], amount: Column, out: str = "before") -> DataFrame:
+    """Add the sum of `amount` over the rows of the group that come before in `order`, which must be unique in it.
+
+    The rows are dealt by range of group and order and written, as the ranges are drawn
+    from a sample; each range sums up its rows, and the sums of ranges, a few for each
+    group, say where each begins. No task sorts a whole group.
+    """
+    ranged = rows.withColumn("_amount", amount).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    ranged = scratch.materialize(ranged, "ranges")
+    within = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*by, "_part").agg(F.sum("_amount").alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_begin"))
+    found = ranged.withColumn("_own", F.coalesce(F.sum("_amount").over(within), F.lit(0))).join(sums, [*by, "_part"])
+    return found.withColumn(out, F.col("_begin") + F.col("_own")).drop("_amount", "_part", "_begin", "_own")
+
+
 def assign_runs(log: DataFrame, capacity: int) -> DataFrame:
     """Add run_id: the flush that each change falls in when a buffer of so many bytes fills up."""
     size = F.length("k") + F.length("v")
@@ -67,9 +105,18 @@ def statistics(runs: DataFrame) -> DataFrame:
 
 
 def overlaps(stats: DataFrame) -> DataFrame:
-    """Pairs of runs whose key ranges meet; `stats` has one row a run."""
-    a, b = stats.select(F.col("run_id").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi")), stats.select(F.col("run_id").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    return a.join(b, (F.col("a") < F.col("b")) & (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi"))).select("a", "b")
+    """How many other runs each run's key range meets: run_id and overlaps; `stats` has one row a run.
+
+    A sweep over the sorted bounds: all runs but those that end before it begins and those
+    that begin after it ends. Only counts are made, as pairs may be as many as runs squared.
+    """
+    bounds = stats.select("run_id", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(0).alias("end")), F.struct(F.col("hi").alias("at"), F.lit(1).alias("end")))).alias("b"))
+    bounds = bounds.select(F.lit(0).alias("all"), "run_id", "b.at", "b.end")
+    # At equal keys ranges begin before others end, as they meet.
+    order = ["at", "end", "run_id"]
+    ended = prefix_sums(bounds, ["all"], order, F.col("end"), "ended").where("end = 0").select("run_id", "ended")
+    begun = prefix_sums(bounds, ["all"], order, 1 - F.col("end"), "begun").where("end = 1").select("run_id", "begun")
+    return ended.join(begun, "run_id").select("run_id", (F.col("begun") - F.col("ended") - 1).alias("overlaps"))
 
 
 def amplification(log: DataFrame, runs: DataFrame) -> DataFrame:

@@ -21,6 +21,17 @@ def live(edits: DataFrame) -> DataFrame:
     return last.where(F.col("tag") == schema.ADD).select("level", "run_id")
 
 
+def merge_edits(runs: DataFrame, level: int, run_id: int) -> DataFrame:
+    """What a merge of all runs (level, run_id) of a level commits at once: tag, level and run_id.
+
+    The run that it makes is added to the next level, and each of its inputs removed; a
+    level without runs gives no edits.
+    """
+    inputs = runs.where(F.col("level") == level)
+    made = inputs.limit(1).select(F.lit(schema.ADD).alias("tag"), F.lit(level + 1).alias("level"), F.lit(run_id).cast("long").alias("run_id"))
+    return made.unionByName(inputs.select(F.lit(schema.REMOVE).alias("tag"), "level", F.col("run_id").cast("long").alias("run_id")))
+
+
 def encode(edits: DataFrame) -> DataFrame:
     """Each edit as 13 bytes: tag, level (32 bit) and run (64 bit), little-endian."""
     from tidemark.functions.encoding import little_endian
