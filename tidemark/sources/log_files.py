@@ -7,6 +7,7 @@ first chunk where exactly a header fits.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema
+from tidemark.plans import scratch
+from tidemark.sources.outputs import Output
 
 
 def serialize(op: int, seq: int, key: bytes, value: bytes) -> bytes:
@@ -101,8 +104,32 @@ def framed(log: DataFrame, group: str = "log_no") -> DataFrame:
     return log.groupBy(group).applyInPandas(run, "log_no int, chunk_no long, offset long, chunk_type byte, length int, crc long, payload binary")
 
 
+def write(log: DataFrame, folder: str) -> DataFrame:
+    """Write each log (log_no, op, seq, key, value) as the framed file NNNNN.log; gives log_no, records and bytes.
+
+    A task takes the records of a file in order of seq and frames them as they come, a
+    batch in memory; files are rotated by size, which bounds what a task writes.
+    """
+    ordered = log.select("log_no", "op", "seq", "key", "value").repartition("log_no").sortWithinPartitions("log_no", "seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((int(n), serialize(int(o), int(s), bytes(k), bytes(v))) for b in batches for n, o, s, k, v in zip(b["log_no"], b["op"], b["seq"], b["key"], b["value"]))
+        for number, group in itertools.groupby(rows, key=lambda r: r[0]):
+            records = 0
+            with Output(folder, f"{number:05d}.log") as out:
+                while part := [r for _, r in itertools.islice(group, 1024)]:
+                    records += len(part)
+                    out.write(frame(part, out.size))
+            yield pd.DataFrame([(number, records, out.size)], columns=["log_no", "records", "bytes"])
+
+    return scratch.materialize(ordered.mapInPandas(run, "log_no int, records long, bytes long"), "logs")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The change-log of framed files NNNNN.log: log_no, op, seq, key, value; each file's valid prefix."""
+    """The change-log of framed files NNNNN.log: log_no, op, seq, key, value; each file's valid prefix.
+
+    A file is read whole by one task; rotation bounds it.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path)
     files = files.select(F.regexp_extract("path", r"(\d+)\.log$", 1).try_cast("int").alias("log_no"), "content")
 
