@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark import cli, schema
 from tidemark.functions import bloom, encoding, varint
 from tidemark.operators import blocks, changelog, lookup, runs
-from tidemark.plans import manifest, policy
-from tidemark.sources import log_files
+from tidemark.plans import manifest, policy, scratch
+from tidemark.sources import files, log_files, run_files
 from tidemark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,39 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.from_events(_table(spark, sf_dir, "events"))
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files; a single file is one of its folder's."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return reader.parquet(path) if files.is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changelog.from_events(_stream(spark, sf_dir, "events"))
+
+
+def _binary_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log rotated every 4096 changes, keys and values as bytes."""
+    op = F.when(F.col("op") == "P", schema.PUT).otherwise(schema.DELETE).cast("byte")
+    return _log(spark, sf_dir).select(F.floor(F.col("seq") / 4096).cast("int").alias("log_no"), op.alias("op"), "seq", F.col("k").cast("binary").alias("key"), F.col("v").cast("binary").alias("value"))
+
+
+def _binary_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).select("run_id", F.col("k").cast("binary").alias("key"), F.col("v").cast("binary").alias("value"))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fully merged runs of _blocks, keys and values as bytes."""
+    merged = changelog.latest(_log(spark, sf_dir))
+    return merged.select(F.substring("k", 10, 1).cast("long").alias("run_id"), F.col("k").cast("binary").alias("key"), F.col("v").cast("binary").alias("value"))
+
+
+def _run_files(spark: SparkSession, sf_dir: str, rows: DataFrame) -> str:
+    folder = scratch.new_folder(spark, "runs")
+    run_files.write(rows, folder)
+    return folder
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.flush(runs.assign_runs(_log(spark, sf_dir), RUN_BYTES))
 
@@ -121,26 +154,18 @@ def put_empty(spark, sf_dir):
 
 @query
 def clear(spark, sf_dir):
-    """What is visible of changes made before a clear."""
+    """What is visible when all was cleared in the middle of the changes."""
     log = _log(spark, sf_dir)
-    last = log.agg(F.max("seq").alias("cleared"))
-    return changelog.snapshot(log.join(F.broadcast(last), F.col("seq") > F.col("cleared"))).select("k", "v")
+    middle = log.agg(F.floor(F.max("seq") / 2).alias("cleared"))  # one row
+    return changelog.snapshot(log.join(F.broadcast(middle), F.col("seq") > F.col("cleared"))).select("k", "v")
 
 
 @query
 def sequence_numbers(spark, sf_dir):
     """Numbers of a batch in its declared order, from the table's next one on."""
     orders = _table(spark, sf_dir, "orders")
-    rows = orders.select(F.col("o_orderkey").alias("k"), F.floor(F.col("o_orderkey") / 1024).alias("bucket"))
-    before = runs_before(rows)
-    order = Window.partitionBy("bucket").orderBy("k")
-    return rows.join(before, "bucket").select("k", (F.col("before") + F.row_number().over(order)).alias("seq"))
-
-
-def runs_before(rows: DataFrame) -> DataFrame:
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    numbered = runs.running_total(orders.select(F.col("o_orderkey").alias("k")), "k", F.lit(1))
+    return numbered.select("k", (F.col("before") + 1).alias("seq"))
 
 
 @query
@@ -190,9 +215,22 @@ def chunk_checksums(spark, sf_dir):
 @query
 def framed_log(spark, sf_dir):
     """The exact chunks of the log, rotated every 4096 changes."""
-    log = _log(spark, sf_dir)
-    rows = log.select(F.floor(F.col("seq") / 4096).cast("int").alias("log_no"), F.when(F.col("op") == "P", 1).otherwise(2).cast("byte").alias("op"), "seq", F.col("k").cast("binary").alias("key"), F.col("v").cast("binary").alias("value"))
-    return log_files.framed(rows).select("log_no", "chunk_no", "offset", F.col("chunk_type").cast("int").alias("chunk_type"), "length", "crc")
+    return log_files.framed(_binary_log(spark, sf_dir)).select("log_no", "chunk_no", "offset", F.col("chunk_type").cast("int").alias("chunk_type"), "length", "crc")
+
+
+@query
+def log_file_sizes(spark, sf_dir):
+    """What is written when the log goes to framed files."""
+    return log_files.write(_binary_log(spark, sf_dir), scratch.new_folder(spark, "logs"))
+
+
+@query
+def log_file_scan(spark, sf_dir):
+    """The log read back from its framed files."""
+    folder = scratch.new_folder(spark, "logs")
+    log_files.write(_binary_log(spark, sf_dir), folder)
+    found = log_files.read(spark, folder)
+    return found.select("log_no", F.col("op").cast("int").alias("op"), "seq", F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
 
 
 @query
@@ -216,10 +254,12 @@ def point_get(spark, sf_dir):
 
 @query
 def get_deleted(spark, sf_dir):
-    """A get of the first deleted key finds its tombstone, and so nothing."""
+    """A get of the first deleted key finds its tombstone, and so nothing: what versions there are and what is answered."""
     log = _log(spark, sf_dir)
     key = changelog.latest(log).where("v = ''").agg(F.min("k")).first()[0]
-    return lookup.get(log, key, [F.desc("seq")]).select("k", "v")
+    answers = lookup.get(log, key, [F.desc("seq")]).groupBy("k").agg(F.count(F.lit(1)).alias("answers"))
+    versions = log.where(F.col("k") == F.lit(key)).groupBy("k").agg(F.count(F.lit(1)).alias("versions"), F.max_by("op", "seq").alias("last_op"))
+    return versions.join(answers, "k", "left").select("k", "versions", "last_op", F.coalesce("answers", F.lit(0)).cast("long").alias("answers"))
 
 
 @query
@@ -276,6 +316,28 @@ def run_lookup(spark, sf_dir):
     return newest.where("n.v <> ''").select("k", F.col("n.run_id").alias("run_id"), F.col("n.v").alias("v"))
 
 
+@query
+def filtered_get(spark, sf_dir):
+    """A get of every key of the log and of one behind it over run files, by filter, index and block."""
+    folder = _run_files(spark, sf_dir, _binary_runs(spark, sf_dir))
+    held = scratch.materialize(run_files.blocks(spark, folder), "blocks")
+    run_ids = [r[0] for r in held.select("run_id").distinct().collect()]  # as many as the manifest names
+    keys = _asked(spark, sf_dir).select(F.col("k").cast("binary").alias("key"))
+    found = lookup.run_get(keys, run_ids, run_files.filters(spark, folder), held)
+    return found.select(F.col("key").cast("string").alias("k"), "run_id", F.col("value").cast("string").alias("v"))
+
+
+@query
+def block_search(spark, sf_dir):
+    """Each key of the log and one just before it looked for in the exact block that may hold it."""
+    packed = scratch.materialize(blocks.pack(_merged(spark, sf_dir)), "packed")
+    keys = _merged(spark, sf_dir).select("run_id", "key")
+    before = keys.select("run_id", F.expr("substring(key, 1, octet_length(key) - 1)").alias("key")).distinct()
+    places = lookup.index_seek(keys.unionByName(before), packed, "run_id", "key", "last_key")
+    found = blocks.search(places, packed)
+    return found.select("run_id", F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
+
+
 @query
 def as_of(spark, sf_dir):
     return changelog.as_of(_log(spark, sf_dir), 700).select("k", "v", "seq")
@@ -301,6 +363,22 @@ def flushed_runs(spark, sf_dir):
     return _runs(spark, sf_dir).select("run_id", "k", "v")
 
 
+@query
+def run_file_scan(spark, sf_dir):
+    """The runs read back from run files."""
+    found = run_files.read(spark, _run_files(spark, sf_dir, _binary_runs(spark, sf_dir)))
+    return found.select("run_id", F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
+
+
+@query
+def run_file_index(spark, sf_dir):
+    """Blocks of the merged runs' files: last key, entries' bytes before compression, and whether they are stored without a gap."""
+    held = run_files.blocks(spark, _run_files(spark, sf_dir, _merged(spark, sf_dir)))
+    order = Window.partitionBy("run_id").orderBy("block_no")
+    gap = F.col("offset") - F.coalesce(F.lag(F.col("offset") + F.col("size")).over(order), F.lit(0))
+    return held.select("run_id", "block_no", F.col("last_key").cast("string").alias("last_k"), F.octet_length("data").alias("bytes"), gap.alias("gap"))
+
+
 @query
 def run_stats(spark, sf_dir):
     return runs.statistics(_runs(spark, sf_dir))
@@ -364,6 +442,13 @@ def manifest_decoded(spark, sf_dir):
     return found.select("edit_no", F.col("tag").cast("int").alias("tag"), "level", "run_id")
 
 
+@query
+def merge_edits(spark, sf_dir):
+    """What a merge of the first level's runs commits."""
+    live = manifest.live(_edits(spark, sf_dir))
+    return manifest.merge_edits(live, 1, 10**6)
+
+
 @query
 def search_order(spark, sf_dir):
     """Live runs in the order in which a get goes through them."""
@@ -404,18 +489,14 @@ def restart_points(spark, sf_dir):
 @query
 def packed_blocks(spark, sf_dir):
     """Exact blocks with their bytes' crc32."""
-    merged = changelog.latest(_log(spark, sf_dir))
-    rows = merged.select(F.substring("k", 10, 1).cast("long").alias("run_id"), F.col("k").cast("binary").alias("key"), F.col("v").cast("binary").alias("value"))
-    packed = blocks.pack(rows)
+    packed = blocks.pack(_merged(spark, sf_dir))
     return packed.select("run_id", "block_no", "n", F.col("first_key").cast("string").alias("first_k"), F.col("last_key").cast("string").alias("last_k"), F.octet_length("data").alias("bytes"), F.crc32("data").alias("crc"))
 
 
 @query
 def unpacked_blocks(spark, sf_dir):
     """The rows read back from exact blocks."""
-    merged = changelog.latest(_log(spark, sf_dir))
-    rows = merged.select(F.substring("k", 10, 1).cast("long").alias("run_id"), F.col("k").cast("binary").alias("key"), F.col("v").cast("binary").alias("value"))
-    found = blocks.unpack(blocks.pack(rows))
+    found = blocks.unpack(blocks.pack(_merged(spark, sf_dir)))
     return found.select("run_id", F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
 
 
@@ -443,6 +524,16 @@ def varint_bytes(spark, sf_dir):
     return docs.select("doc_id", F.lower(F.hex(data)).alias("data"), varint.decode(data).alias("value"))
 
 
+@query
+def varint32(spark, sf_dir):
+    """32-bit integers encoded and decoded, cut off by a byte, and with bytes of a longer one before them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.pmod(F.col("n_chars") * 40503 * 65537, F.lit(1 << 32)).alias("x"))
+    data = varint.encode(F.col("x"))
+    cut = F.substring(data, F.lit(1), F.octet_length(data) - 1)
+    long = F.concat(F.unhex(F.lit("8080808080")), data)
+    return docs.select("doc_id", F.lower(F.hex(data)).alias("data"), varint.decode(data, 32).alias("value"), varint.decode(cut, 32).alias("cut"), varint.decode(long, 32).alias("too_long"))
+
+
 @query
 def bloom_sizing(spark, sf_dir):
     """Filters for as many members as each nation has customers, at three rates."""
@@ -455,27 +546,35 @@ def bloom_sizing(spark, sf_dir):
 @query
 def bloom_members(spark, sf_dir):
     """How many members of each run its filter holds: all of them."""
-    held = _runs(spark, sf_dir).select("run_id", "k").withColumnRenamed("k", "key")
-    filters = bloom.build(held, ["run_id"], "key", schema.BLOOM_FPR)
-    found = held.join(filters, "run_id").withColumn("hit", bloom.contains(F.col("key"), F.col("k"), F.col("m"), F.col("words")))
-    return found.groupBy("run_id").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("hit").cast("long")).alias("hits"))
+    held = _runs(spark, sf_dir).select("run_id", F.col("k").alias("key"))
+    found = bloom.passes(held, bloom.words(held, ["run_id"], "key", schema.BLOOM_FPR, "md5"), ["run_id"], "key", "md5")
+    return found.groupBy("run_id").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("passes").cast("long")).alias("hits"))
 
 
 @query
 def bloom_false_positives(spark, sf_dir):
-    """Whether the share of other keys that a filter lets pass stays below three times its rate."""
-    held = _runs(spark, sf_dir).select("run_id", "k").withColumnRenamed("k", "key")
-    filters = bloom.build(held, ["run_id"], "key", schema.BLOOM_FPR)
-    probes = held.withColumn("key", F.concat("key", F.lit("?"))).join(filters, "run_id")
-    passed = F.avg(bloom.contains(F.col("key"), F.col("k"), F.col("m"), F.col("words")).cast("double"))
-    return probes.groupBy("run_id").agg((passed < 3 * schema.BLOOM_FPR).alias("within"))
+    """How many of as many other keys each run's filter lets pass."""
+    held = _runs(spark, sf_dir).select("run_id", F.col("k").alias("key"))
+    probes = held.withColumn("key", F.concat("key", F.lit("?")))
+    found = bloom.passes(probes, bloom.words(held, ["run_id"], "key", schema.BLOOM_FPR, "md5"), ["run_id"], "key", "md5")
+    return found.groupBy("run_id").agg(F.count(F.lit(1)).alias("probes"), F.sum(F.col("passes").cast("long")).alias("passed"))
+
+
+@query
+def bloom_bytes(spark, sf_dir):
+    """Each run's filter as bytes: their length and md5, and the bits that are set in them when they are read again."""
+    held = _runs(spark, sf_dir).select("run_id", F.col("k").alias("key"))
+    data = bloom.encoded(bloom.words(held, ["run_id"], "key", schema.BLOOM_FPR, "md5"), ["run_id"])
+    bits = bloom.decoded(data, ["run_id"]).groupBy("run_id").agg(F.sum(F.bit_count("bits")).cast("long").alias("bits"))
+    return data.join(bits, "run_id").select("run_id", F.octet_length("data").cast("long").alias("bytes"), F.md5("data").alias("md5"), "bits")
 
 
 @query
 def lossy_text(spark, sf_dir):
-    """Text of values cut inside a character."""
-    docs = _table(spark, sf_dir, "documents").where(F.octet_length("text") > 0)
-    return docs.select("doc_id", F.char_length(encoding.text(F.concat(F.col("text").cast("binary"), F.unhex(F.lit("C3"))))).cast("long").alias("n"))
+    """Text of values cut inside a character; null values have none."""
+    docs = _table(spark, sf_dir, "documents")
+    text = encoding.text(F.concat(F.col("text").cast("binary"), F.unhex(F.lit("C3"))))
+    return docs.select("doc_id", F.char_length(text).cast("long").alias("n"), F.md5(text.cast("binary")).alias("md5"))
 
 
 # Commands
@@ -508,10 +607,36 @@ def command_parse(spark, sf_dir):
 
 @query
 def stream_latest(spark, sf_dir):
-    """The aggregate that a stream of changes keeps, over the whole log."""
-    return ingest.latest(_log(spark, sf_dir)).select("k", "v", "seq")
+    """What the aggregate of a stream of changes has told last of each key."""
+    told = ingest.drained(ingest.latest(_log_stream(spark, sf_dir)))
+    return told.groupBy("k").agg(F.max_by("v", "batch").alias("v"), F.max("seq").alias("seq"))
+
+
+@query
+def stream_live(spark, sf_dir):
+    """The keys that are live after the last change that the stateful stream has told."""
+    told = ingest.drained(ingest.live_changes(_log_stream(spark, sf_dir)))
+    newest = told.groupBy("k").agg(F.max_by(F.struct("v", "live"), "seq").alias("n"), F.max("seq").alias("seq"))
+    return newest.where("n.live").select("k", F.col("n.v").alias("v"), "seq")
+
+
+@query
+def stream_table(spark, sf_dir):
+    """A table that a stream of changes was written to, flushed and merged once."""
+    from tidemark.table import Table
+
+    folder = scratch.new_folder(spark, "table")
+    table = Table(spark, f"{folder}/db", l0_runs=1)
+    op = F.when(F.col("op") == "P", schema.PUT).otherwise(schema.DELETE).cast("byte")
+    changes = _log_stream(spark, sf_dir).select(F.col("k").alias("key"), F.col("v").alias("value"), op.alias("op"), "seq")
+    ingest.into_table(changes, table, f"{folder}/checkpoint").awaitTermination()
+    table.flush()
+    table.compact()
+    return table.snapshot().select(F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
 
 
 @query
 def event_windows(spark, sf_dir):
-    return ingest.event_windows(_table(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    """Windows over the stream of events, as they were told last."""
+    told = ingest.drained(ingest.event_windows(_stream(spark, sf_dir, "events")))
+    return told.groupBy("start", "event_type").agg(F.max("n").alias("n"), F.round(F.max_by("total", "batch"), 4).alias("total"))

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tidemark.plans import scratch
 from tidemark.table import Table
 
 
@@ -60,6 +62,25 @@ def live_changes(changes: DataFrame) -> DataFrame:
     return changes.select("k", "seq", "v").groupBy("k").applyInPandasWithState(step, "k string, v string, seq long, live boolean", "seq long", "update", GroupStateTimeout.NoTimeout)
 
 
+def drained(stream: DataFrame, mode: str = "update") -> DataFrame:
+    """All that a stream gives until its input is read, with the number of the micro-batch.
+
+    A batch is written as a folder of its own, so that one that is repeated counts once.
+    """
+    spark = stream.sparkSession
+    folder = scratch.new_folder(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")).trigger(availableNow=True).start().awaitTermination()
+    out = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(out).parquet(f"{folder}/out")
+
+
 def event_windows(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events and their mean value by tumbling window and type, for a batch or a stream."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    """Events and their total value by tumbling window and type, for a batch or a stream.
+
+    Times without a zone are those of the session's.
+    """
+    kind = events.schema["ts"].dataType
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counted = timed.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return counted.select(F.col("w.start").cast(kind).alias("start"), "event_type", "n", "total")
