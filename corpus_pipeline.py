@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, ngram_join, packing, secrets
-from tidemark.llm._common import materialize
+from tidemark.llm._common import drop, fresh, materialize
 from tidemark.llm.queries import BYTE_BPE, pack_digests, tokenizer_path
 
 #: A document goes if no language holds this share of it.
@@ -22,27 +22,36 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.fit(docs.where(~held_out))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language.identify(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    # A document goes along as one value, so that no column of its own is taken for one of the stage's.
+    whole = docs.select(F.struct("*").alias("doc"), "text")
+    found = language.identify(whole, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return found.select(*[F.coalesce("doc.lang", "lang_pred").alias(c) if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group that links join; repeated rows become one.
 
-    Rows without an id are kept.
+    Of rows that share the id too, the one stays whose text's md5 is smallest, then the one
+    whose other columns are, nulls first; of texts without words only those that are equal
+    and share their id count as repeated. Rows without an id are kept.
     """
+    number, same, order, group, maybe = fresh(docs.columns, "_row", "_same", "_order", "_group", "_maybe")
     # Rows may share an id, so each has a number of its own, written so that it stays the same.
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    has_id = F.col("doc_id").isNotNull()
-    found = materialize(ngram_join.join(rows.where(has_id), "_row"), "joined")
-    linked = materialize(found.where("n_links > 0").select("_row", "class_id").join(rows.select("_row", "doc_id"), "_row"), "linked")
-    first = linked.groupBy("class_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row")
-    kept = rows.join(linked.select("_row").join(first, "_row", "left_anti"), "_row", "left_anti")
-    again = rows.where(has_id).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    if not again.isEmpty():
-        again = materialize(again, "again")
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    named = rows.where(F.col("doc_id").isNotNull())
+    digest = F.md5(F.col("text"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    marks = named.select(number, F.struct("doc_id", digest.alias("text"), *others, number).alias(order), F.concat_ws(":", "doc_id", F.coalesce(digest, F.lit("null"))).alias(same))
+    found = ngram_join.join(named, number).select(number, "n_links", "class_id")
+    own = F.when(F.col("n_links") > 0, F.concat(F.lit("class:"), "class_id")).otherwise(F.col(same))
+    groups = materialize(found.join(marks, number).select(number, order, own.alias(group)), "groups")
+    first = groups.groupBy(group).agg(F.min(order)[number].alias(number)).select(number)
+    gone = materialize(groups.select(number).join(first, number, "left_anti"), "gone")
+    drop(groups)
+    # Only rows whose bit says that they may have to go are shuffled with their texts.
+    filters, bits = ngram_join.member_filter(gone, number, gone.count())
+    flagged = ngram_join.maybe_members(rows, number, materialize(filters, "filter"), bits, maybe)
+    kept = flagged.where(~F.col(maybe)).unionByName(flagged.where(F.col(maybe)).join(gone, number, "left_anti").select(*flagged.columns))
     return kept.select(*docs.columns)
 
 
@@ -69,6 +78,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

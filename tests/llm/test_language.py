@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import pytest
@@ -57,3 +58,67 @@ def test_prediction_takes_text_only(spark, model):
     plain = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
     other = docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None).cast("string"))
     assert plain == {r.doc_id: r.lang_pred for r in language.identify(other, model).collect()}
+
+
+def _shares(model, text):
+    """The mixture worked out letter by letter and word by word, with plain loops."""
+    codes = [ord(c) if c.isalpha() else 1 for c in text.lower()]
+    padded, words = [0, *codes, 0], []
+    for i, c in enumerate(codes):
+        if c != 1:
+            x = (padded[i] * 0x9E3779B1 + padded[i + 1] * 0x85EBCA77 + padded[i + 2] * 0xC2B2AE3D) % 2**32
+            x ^= x >> 15
+            if not i or codes[i - 1] == 1:
+                words.append([0.0] * len(model.languages))
+            row = model.logp[((x * 0x27D4EB2F) % 2**32) >> 17]
+            words[-1] = [a + float(b) for a, b in zip(words[-1], row)]
+    if not words:
+        return {}
+    tops = [max(w) for w in words]
+    likely = [[math.exp(max(x - t, -60.0)) for x in w] for w, t in zip(words, tops)]
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            total = [0.0] * len(share)
+            for row in likely:
+                joint = [a * b for a, b in zip(share, row)]
+                total = [a + b / sum(joint) for a, b in zip(total, joint)]
+            new = [a / len(likely) for a in total]
+            moved, share = max(abs(a - b) for a, b in zip(share, new)), new
+            if moved < language.SETTLED:
+                break
+        return share, sum(math.log(sum(a * b for a, b in zip(share, row))) for row in likely)
+
+    share, _ = em([1.0 / len(model.languages)] * len(model.languages), language.ROUNDS)
+    order = sorted(range(len(share)), key=lambda i: -share[i])
+    best, chosen = -math.inf, []
+    for k in range(1, len(order) + 1):
+        begin = [(share[i] + 1e-6) * (i in order[:k]) for i in range(len(share))]
+        part, loglik = em([b / sum(begin) for b in begin], language.SET_ROUNDS if k > 1 else 0)
+        value = sum(tops) + loglik - (k - 1) / 2 * math.log(len(words) + 1.0)
+        if value <= best + 1e-9:
+            break
+        best, chosen = value, part
+    return {model.languages[i]: s for i, s in enumerate(chosen) if s > 0}
+
+
+def test_mixtures_against_brute_force(spark, model):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 1500").limit(60).collect()
+    texts = [r.text for r in rows] + [a.text[:400] + " " + b.text[:400] for a, b in zip(rows[:20], rows[20:40])] + ["", "1 2", "é", "the der"]
+    for text, found in zip(texts, model.predict(texts), strict=True):
+        want = _shares(model, text)
+        assert {k for k, v in found if v > 1e-9} == {k for k, v in want.items() if v > 1e-9}
+        assert all(abs(v - want[k]) < 1e-6 for k, v in found if v > 1e-9)
+
+
+def test_repeated_rows_ties_and_clashing_names(spark, model):
+    words = "the and of that with this"
+    rows = spark.createDataFrame([(1, words, "x", "y", "z"), (1, words, "x", "y", "z"), (2, words, None, None, None)], "id long, text string, languages string, _in_text string, lang_pred string")
+    found = language.identify(rows, model)
+    assert found.columns == ["id", "text", "_in_text", "languages", "lang_pred", "score"]
+    got = found.collect()
+    assert len(got) == 3 and len({(r.lang_pred, r.score) for r in got}) == 1
+    # Languages that are learnt from the same texts are equally likely: the first by name is taken, always.
+    both = spark.createDataFrame([(i, words + f" word{i % 5}", lang) for i in range(20) for lang in ("bb", "aa")], "doc_id long, text string, lang string")
+    tied = language.fit(both)
+    assert [p[0][0] for p in tied.predict([words] * 3)] == ["aa"] * 3

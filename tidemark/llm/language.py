@@ -185,7 +185,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add `languages` (language and share, the largest first), `lang_pred` and `score`, its share.
 
-    Keeps every row and column.
+    Keeps every row, repeated ones too, and every column but those of these names. Of languages
+    with equal shares the first by name counts as larger.
     """
 
     def run(texts: list[str | None]) -> dict[str, list]:

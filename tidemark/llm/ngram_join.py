@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import drop, join_hot, map_rows, materialize
+from tidemark.llm._common import drop, fresh, join_hot, map_rows, materialize
 from tidemark.llm.components import components
 
 NGRAM = 5
@@ -168,12 +168,14 @@ def member_filter(keys: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
     return dealt.groupBy("_bitmap").agg(F.bitmap_construct_agg("_place").alias("_bits")), bits
 
 
-def maybe_members(rows: DataFrame, key: str, filters: DataFrame, bits: int) -> DataFrame:
-    """The rows whose key has its bit: all members, and few others while the filter is large enough."""
+def maybe_members(rows: DataFrame, key: str, filters: DataFrame, bits: int, out: str = "_maybe") -> DataFrame:
+    """Add whether the key has its bit, as all members do, and few others while the filter is large enough."""
     bitmap, place = _bit(F.col(key), bits)
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    found = rows.withColumn("_bitmap", bitmap).join(F.broadcast(filters), "_bitmap")
-    return found.where(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1).select(*rows.columns)
+    number, held = fresh([*rows.columns, out], "_bitmap", "_bits")
+    byte = F.conv(F.hex(F.substring(held, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = rows.withColumn(number, bitmap).join(F.broadcast(filters.toDF(number, held)), number, "left")
+    has = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return found.select(*rows.columns, has.alias(out))
 
 
 def _dealt(rows: DataFrame, group: str, blocks: Column, member: str) -> DataFrame:
@@ -349,7 +351,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     filters, bits = member_filter(members, "rid", members.count())
     filters = materialize(filters, "filter")
     # Always a shuffled join: the members grow with the input, and no size of theirs changes the plan.
-    texts = maybe_members(rows.where(F.col("doc").isNotNull()), "doc", filters, bits).hint("merge")
+    texts = maybe_members(rows.where(F.col("doc").isNotNull()), "doc", filters, bits).where("_maybe").drop("_maybe").hint("merge")
     blocks = F.greatest(F.col("members") / BLOCK, F.col("all_grams") / BLOCK_GRAMS)
     dealt = _dealt(members.join(texts, F.col("rid") == F.col("doc")), "component", blocks, "cid").select("unit", "cid", "side", "two", "copies", "grams", "text")
     verified = materialize(_map_groups(dealt, "unit", _verified(threshold), "a long, b long, links long"), "links")
