@@ -71,3 +71,12 @@ def test_bad_bytes_become_replacement_characters():
     v = CODEC.vocabulary
     assert CODEC.decode(np.array([v.bytes[0xE2], v.bytes[0x82]], "<u4").tobytes()) == "�"
     assert CODEC.decode(b"") == ""
+
+
+def test_words_kept_are_bounded_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 2000)
+    codec = pieces.Codec(PATH)
+    for i in range(300):
+        text = f"word{i} and other{i % 7} words"
+        assert _ids(codec.encode(text)) == LIBRARY.encode(text)
+        assert len(codec.words) + len(codec.words.old) <= 2 * 2000 // 240 + 2

@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame
 from tidemark.llm._common import append_columns
 
 SPACE = "▁"
-#: Words and pairs of pieces that a worker keeps at most.
+#: Pairs of pieces that a worker keeps at most, and bytes of words with their ids, of which there are two kinds.
 CACHE = 300_000
+CACHE_BYTES = 40 << 20
+_ENTRY = 240  # bytes of a word kept besides its characters and ids
 _LONGEST_KEPT = 40
 #: Characters after which paths are traced back.
 _TRACE = 64
@@ -187,21 +189,25 @@ def trace(last: list[str], end: int) -> list[str]:
 class _Kept(dict):
     """Ids, as bytes, of short texts, worked out when first asked for.
 
-    When it is full the entries become the old ones, of which those asked for again return.
+    When they take CACHE_BYTES the entries become the old ones, of which those asked for
+    again return.
     """
 
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode = encode
         self.old: dict[str, bytes] = {}
+        self.size = 0
 
     def __missing__(self, text: str) -> bytes:
         if (found := self.old.get(text)) is None:
             found = self.encode(text)
         if len(text) <= _LONGEST_KEPT:
-            if len(self) >= CACHE:
+            if self.size >= CACHE_BYTES:
                 self.old = dict(self)
                 self.clear()
+                self.size = 0
+            self.size += _ENTRY + 4 * len(text) + len(found)
             self[text] = found
         return found
 
