@@ -256,3 +256,23 @@ def test_stateful_stream(spark, tmp_path):
     query.awaitTermination()
     last = {k: (v, s, live) for k, v, s, live in sorted(got, key=lambda r: r[2])}
     assert last == {"a": ("z", 3, True), "b": ("", 4, False)}
+
+
+def test_prompt(spark, tmp_path, monkeypatch, capsys):
+    """The folder is an argument, the banner names it, and an error or the input's end doesn't break the prompt."""
+    folder = str(tmp_path / "db")
+    lines = iter(["put a 1", "get a", "", "put " + "k" * 70_000 + " v", "help", "nope", "delete a", "get a"])
+
+    def read(prompt):
+        assert prompt == "tidemark> "
+        if (line := next(lines, None)) is None:
+            raise EOFError
+        return line
+
+    monkeypatch.setattr("builtins.input", read)
+    cli.main([folder])
+    said = capsys.readouterr().out
+    assert folder in said.splitlines()[0] and "a → 1" in said and "error: " in said and "(nil)" in said and "no such command: nope" in said
+    lines = iter(["exit", "get a"])
+    cli.main([folder])
+    assert next(lines) == "get a"
