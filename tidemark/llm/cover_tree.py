@@ -11,8 +11,9 @@ vector whose centre comes later. Inside a cell a cover tree with halving radii i
 traversed against itself and against the visitors, who are dealt over several tasks where
 they are many: node pairs farther apart than their covering radii and the threshold are
 pruned, pairs that lie within it altogether are counted whole, and the others descend.
-Where most of a pair of nodes would descend, and at the leaves, vectors are compared by
-the exact cosine in double precision.
+Nodes of one vector are told apart by projections first. Where most of a pair of nodes
+would descend, and at the leaves, vectors are compared by the exact cosine in double
+precision.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from tidemark.llm.components import components
 
 COSINE = 0.98
 #: Members of a cell that one task holds, the centres that split a larger one, and a cell's visitors in one task.
-CELL = 8192
+CELL = 16384
 CENTRES = 16
 VISITORS = 4 * CELL
 LEAF = 128
@@ -39,6 +40,11 @@ DESCENT = 1000
 _ROWS = 512
 #: Room for rounding in every bound; pairs this near the threshold are always compared themselves.
 MARGIN = 1e-6
+#: The same for bounds and radii in single precision: on a cosine, and on the square of a distance.
+COARSE = 1e-5
+#: Dimensions of the projection that bounds a cosine from above, and nodes that need not be told apart any more.
+PROJECTED = 16
+FINE = 0.01
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -56,13 +62,16 @@ class Node:
 
 
 def build(points: np.ndarray) -> Node:
-    """A cover tree of unit vectors: the children of a node cover its members at half the node's scale."""
+    """A cover tree of unit vectors: the children of a node cover its members at half the node's scale.
+
+    Distances may be in single precision: radii are given a little room, so that they cover.
+    """
     every = np.arange(len(points))
     root = Node(0, _distance((points @ points[0]).min()), every)
     todo = [(root, 2.0)]
     while todo:
         node, scale = todo.pop()
-        if len(node.members) <= LEAF or node.radius < MARGIN:
+        if len(node.members) <= LEAF or node.radius < FINE:
             continue
         while scale / 2 >= node.radius:
             scale /= 2
@@ -78,7 +87,8 @@ def build(points: np.ndarray) -> Node:
                     inside = free & (cosines[b] >= bound)
                     inside[b] = True
                     free &= ~inside
-                    child = Node(int(left[b]), _distance(cosines[b][inside].min()), left[inside])
+                    covered = left[inside]
+                    child = Node(int(left[b]), _distance(cosines[b][inside].min()) if len(covered) > 1 else 0.0, covered)
                     node.children.append(child)
                     todo.append((child, scale / 2))
             left = left[free]
@@ -86,7 +96,23 @@ def build(points: np.ndarray) -> Node:
 
 
 def _distance(cosine: float) -> float:
-    return float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine)))
+    return float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine) + COARSE))
+
+
+_bases: dict[int, np.ndarray] = {}
+
+
+def _projected(points: np.ndarray) -> np.ndarray:
+    """Each unit vector's part in PROJECTED directions, and the length of the rest of it.
+
+    Products of these are at least the vectors' cosines (Cauchy and Schwarz).
+    """
+    dim = points.shape[1]
+    if dim not in _bases:
+        _bases[dim] = np.linalg.qr(np.random.default_rng(dim).normal(size=(dim, dim)))[0][:, :PROJECTED]
+    part = points @ _bases[dim]
+    rest = np.sqrt(np.maximum(0.0, 1.0 - (part**2).sum(axis=1)))
+    return np.hstack([part, rest[:, None]]).astype(np.float32)
 
 
 def _open(node: Node, points: np.ndarray) -> tuple[list[Node], np.ndarray, np.ndarray]:
@@ -128,37 +154,73 @@ class Links:
                 continue
             left, cx, rx = ([x], a.points[[x.centre]], np.array([x.radius])) if not x.children else _open(x, a.points)
             right, cy, ry = (left, cx, rx) if x is y else ([y], b.points[[y.centre]], np.array([y.radius])) if not y.children else _open(y, b.points)
-            if (found := self._near(cx, rx, cy, ry, x is y, len(x.members) * len(y.members) // DESCENT)) is None:
+            # Most nodes of spread-out vectors have one member; they need no descent.
+            groups = [np.array([i for i, n in enumerate(nodes) if len(n.members) > 1], dtype=np.int64) for nodes in (left, right)]
+            singles = [np.array([i for i, n in enumerate(nodes) if len(n.members) == 1], dtype=np.int64) for nodes in (left, right)]
+            most = len(x.members) * len(y.members) // DESCENT
+            if (found := self._near(cx, rx, cy, ry, groups[0], groups[1], x is y, most)) is None:
                 self._compare(a, x.members, b, y.members, x is y)
                 continue
             for i, j, whole in zip(*found):
                 m, n = left[i], right[j]
-                if m is n and len(m.members) == 1:
-                    continue
                 if whole and m is not n:
                     self._whole(a, m.members, b, n.members)
                 elif m is n and 2 * m.radius <= self.reach - MARGIN:
                     self._within(a, m.members)
                 else:
                     todo.append((m, n))
-
-    def _near(self, cx: np.ndarray, rx: np.ndarray, cy: np.ndarray, ry: np.ndarray, same: bool, most: int) -> tuple[list, list, list] | None:
+            alone = [np.array([nodes[i].centre for i in some], dtype=np.int64) for nodes, some in zip((left, right), singles)]
+            self._beside(a, left, groups[0], b, alone[1])
+            if x is not y:
+                self._beside(b, right, groups[1], a, alone[0])
+            self._singles(a, alone[0], b, alone[1], x is y)
+
+    def _beside(self, a: Side, nodes: list[Node], groups: np.ndarray, b: Side, alone: np.ndarray) -> None:
+        """Link members of nodes with single vectors; those near a node are compared with all of it."""
+        for i in groups if len(alone) else ():
+            node = nodes[i]
+            far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (b.points[alone] @ a.points[node.centre])))
+            near = alone[far - node.radius <= self.reach + COARSE]
+            if len(near):
+                self._compare(b, near, a, node.members, False)
+
+    def _singles(self, a: Side, x: np.ndarray, b: Side, y: np.ndarray, same: bool) -> None:
+        """Link vectors with each other: those whose projections allow it are compared."""
+        for at in range(0, len(x), _ROWS):
+            part, others = x[at : at + _ROWS], x[at:] if same else y
+            near = a.projected[part] @ b.projected[others].T >= self.cosine - COARSE
+            if same:
+                near[:, : len(part)] &= np.arange(len(part))[:, None] < np.arange(len(part))[None, :]
+            i, j = np.nonzero(near)
+            if len(i) * 256 > near.size:
+                self._block(a, part, b, others, same)
+            elif len(i):
+                i, j = part[i], others[j]
+                linked = np.einsum("ij,ij->i", a.rows[i], b.rows[j]) / (a.norms[i] * b.norms[j]) >= self.cosine
+                i, j = i[linked], j[linked]
+                np.add.at(a.links, i, b.copies[j])
+                np.add.at(b.links, j, a.copies[i])
+                for p, q in zip(i, j):
+                    self.connect(int(a.ids[p]), b.ids[[q]])
+
+    def _near(self, cx: np.ndarray, rx: np.ndarray, cy: np.ndarray, ry: np.ndarray, some: np.ndarray, others: np.ndarray, same: bool, most: int) -> tuple[list, list, list] | None:
         """Pairs of nodes that may hold links, and whether all of theirs are; None if there are too many to descend."""
         rows, columns, wholes = [], [], []
         count = 0
-        for at in range(0, len(cx), _ROWS):
-            far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (cx[at : at + _ROWS] @ cy.T)))
-            sums = rx[at : at + _ROWS, None] + ry[None, :]
-            near = far - sums <= self.reach + MARGIN
+        for at in range(0, len(some), _ROWS):
+            part = some[at : at + _ROWS]
+            far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (cx[part] @ cy[others].T)))
+            sums = rx[part, None] + ry[None, others]
+            near = far - sums <= self.reach + COARSE
             if same:
-                near &= np.arange(at, at + len(far))[:, None] <= np.arange(len(cy))[None, :]
+                near &= np.arange(at, at + len(far))[:, None] <= np.arange(len(others))[None, :]
             i, j = np.nonzero(near)
             count += len(i) - (len(far) if same else 0)
             if count > most:
                 return None
-            rows += (i + at).tolist()
-            columns += j.tolist()
-            wholes += (far[i, j] + sums[i, j] <= self.reach - MARGIN).tolist()
+            rows += part[i].tolist()
+            columns += others[j].tolist()
+            wholes += (far[i, j] + sums[i, j] <= self.reach - COARSE).tolist()
         return rows, columns, wholes
 
     def _whole(self, a: Side, x: np.ndarray, b: Side, y: np.ndarray) -> None:
@@ -172,20 +234,20 @@ class Links:
         self.connect(int(a.ids[x[0]]), a.ids[x[1:]])
 
     def _compare(self, a: Side, x: np.ndarray, b: Side, y: np.ndarray, same: bool) -> None:
-        others, norms, copies = b.rows[y].T, b.norms[y], b.copies[y]
         for at in range(0, len(x), _ROWS):
-            part = x[at : at + _ROWS]
-            linked = (a.rows[part] @ others) / (a.norms[part][:, None] * norms[None, :]) >= self.cosine
-            if same:
-                linked[np.arange(len(part)), np.arange(at, at + len(part))] = False
-            hit = np.flatnonzero(linked.any(axis=1))
-            if not len(hit):
-                continue
-            linked = linked[hit]
-            a.links[part[hit]] += linked @ copies
-            if not same:
-                b.links[y] += a.copies[part[hit]] @ linked
-            self._join(a.ids[part[hit]], b.ids[y], linked)
+            self._block(a, x[at : at + _ROWS], b, x[at:] if same else y, same)
+
+    def _block(self, a: Side, x: np.ndarray, b: Side, y: np.ndarray, same: bool) -> None:
+        """Compare all pairs; of a set with itself (y begins with x) those that come later in it."""
+        linked = (a.rows[x] @ b.rows[y].T) / (a.norms[x][:, None] * b.norms[y][None, :]) >= self.cosine
+        if same:
+            linked[:, : len(x)] &= np.arange(len(x))[:, None] < np.arange(len(x))[None, :]
+        hit = np.flatnonzero(linked.any(axis=1))
+        if len(hit):
+            linked, x = linked[hit], x[hit]
+            a.links[x] += linked @ b.copies[y]
+            b.links[y] += a.copies[x] @ linked
+            self._join(a.ids[x], b.ids[y], linked)
 
     def _join(self, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> None:
         """Connect what a matrix of links connects, by few edges."""
@@ -212,7 +274,9 @@ class Side:
     def __init__(self, ids: np.ndarray, copies: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.copies, self.rows = ids, copies, rows
         self.norms = np.linalg.norm(rows, axis=1)
-        self.points = rows / self.norms[:, None]
+        unit = rows / self.norms[:, None]
+        self.points = unit.astype(np.float32)
+        self.projected = _projected(unit)
         self.links = np.zeros(len(ids), dtype=np.int64)
         self.tree = build(self.points)
 
