@@ -98,7 +98,7 @@ def _runs(spark, n=700):
 
 def test_run_files(spark, tmp_path):
     rows, df = _runs(spark)
-    folder = f"file://{tmp_path}/sst"
+    folder = f"{tmp_path}/sst"  # a path without its store
     told = {r.run_id: r for r in run_files.write(df.repartition(3), folder).collect()}
     for run_id in (3, 7):
         data = (tmp_path / "sst" / f"{run_id:08d}.run").read_bytes()

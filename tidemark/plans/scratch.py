@@ -52,6 +52,8 @@ def scratch_folder(spark: SparkSession) -> str:
             delete_path(spark, _folders.pop(old))
         path = f"{scratch_root(spark)}/tidemark-{app}-{uuid.uuid4().hex[:12]}"
         hadoop, store = _file_system(spark, path)
+        if "://" not in path:  # with its store's name, as tasks may write there without Hadoop
+            path = re.sub(r"^file:/+", "file:///", store.makeQualified(hadoop).toString())
         store.mkdirs(hadoop)
         store.deleteOnExit(hadoop)
         _folders[app] = path

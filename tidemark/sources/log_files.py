@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema
 from tidemark.plans import scratch
+from tidemark.sources import files
 from tidemark.sources.outputs import Output
 
 
@@ -110,6 +111,7 @@ def write(log: DataFrame, folder: str) -> DataFrame:
     A task takes the records of a file in order of seq and frames them as they come, a
     batch in memory; files are rotated by size, which bounds what a task writes.
     """
+    folder = files.qualified(log.sparkSession, folder)
     ordered = log.select("log_no", "op", "seq", "key", "value").repartition("log_no").sortWithinPartitions("log_no", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,20 +132,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     A file is read whole by one task; rotation bounds it.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path)
-    files = files.select(F.regexp_extract("path", r"(\d+)\.log$", 1).try_cast("int").alias("log_no"), "content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path)
+    found = found.select(F.regexp_extract("path", r"(\d+)\.log$", 1).try_cast("int").alias("log_no"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for number, content in zip(batch["log_no"], batch["content"]):
                 rows = []
                 for record in recover(bytes(content)):
-                    if (found := parse(record)) is None:
+                    if (change := parse(record)) is None:
                         break
-                    rows.append((number, *found))
+                    rows.append((number, *change))
                 yield pd.DataFrame(rows, columns=["log_no", "op", "seq", "key", "value"])
 
-    return files.mapInPandas(run, "log_no int, op byte, seq long, key binary, value binary")
+    return found.mapInPandas(run, "log_no int, op byte, seq long, key binary, value binary")
 
 
 def chunk_count(length, header: int = schema.LOG_HEADER_BYTES):
