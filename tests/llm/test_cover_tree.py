@@ -127,3 +127,13 @@ def test_traversal_against_all_pairs(monkeypatch, spread, leaf, descent):
             break
         want = np.minimum(want, new)
     assert len(set(label)) == len(set(want))
+
+
+@pytest.mark.parametrize("dim", [2, 16, 64, 768])
+def test_projections_bound_cosines_from_above(dim):
+    rng = np.random.default_rng(dim)
+    points = rng.normal(size=(200, dim))
+    points = np.vstack([points, points[:50] + rng.normal(size=(50, dim)) * 0.05])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    bound = cover_tree._projected(points)
+    assert (bound @ bound.T >= points @ points.T - cover_tree.COARSE).all()

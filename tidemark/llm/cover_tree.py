@@ -109,7 +109,7 @@ def _projected(points: np.ndarray) -> np.ndarray:
     """
     dim = points.shape[1]
     if dim not in _bases:
-        _bases[dim] = np.linalg.qr(np.random.default_rng(dim).normal(size=(dim, dim)))[0][:, :PROJECTED]
+        _bases[dim] = np.linalg.qr(np.random.default_rng(dim).normal(size=(dim, min(dim, PROJECTED))))[0]
     part = points @ _bases[dim]
     rest = np.sqrt(np.maximum(0.0, 1.0 - (part**2).sum(axis=1)))
     return np.hstack([part, rest[:, None]]).astype(np.float32)
