@@ -66,11 +66,20 @@ def drained(stream: DataFrame, mode: str = "update") -> DataFrame:
     """All that a stream gives until its input is read, with the number of the micro-batch.
 
     A batch is written as a folder of its own, so that one that is repeated counts once.
+    States are dealt to no more than two partitions a core, as each costs files in every
+    batch.
     """
     spark = stream.sparkSession
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
     folder = scratch.new_folder(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
-    writer.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")).trigger(availableNow=True).start().awaitTermination()
+    writer = writer.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), 2 * spark.sparkContext.defaultParallelism)))
+        query = writer.trigger(availableNow=True).start()  # takes the settings of this moment
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    query.awaitTermination()
     out = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
     return spark.read.schema(out).parquet(f"{folder}/out")
 
