@@ -22,10 +22,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.fit(docs.where(~held_out))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    # A document goes along as one value, so that no column of its own is taken for one of the stage's.
-    whole = docs.select(F.struct("*").alias("doc"), "text")
+    # What isn't text goes along as one value, so that no column of its own is taken for one of the stage's.
+    whole = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text")
     found = language.identify(whole, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return found.select(*[F.coalesce("doc.lang", "lang_pred").alias(c) if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns])
+    own = {"text": F.col("text"), "lang": F.coalesce("doc.lang", "lang_pred").alias("lang")}
+    return found.select(*[own.get(c, F.col("doc")[c].alias(c)) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,14 @@ def test_append_columns_takes_inputs_with_names_of_its_own(spark):
     assert found.columns == ["_in_text", "_in_0", "text"] and tuple(found.first()) == ("b", "c", "a!")
 
 
+def test_append_columns_sends_inputs_once(spark):
+    rows = spark.createDataFrame([(1, "a", "b")], "id long, text string, more string")
+    found = _common.append_columns(rows, ["text", "more"], lambda t, m: {"more": [x + y for x, y in zip(t, m)]}, "more string")
+    assert tuple(found.first()) == (1, "a", "ab")
+    plan = found._jdf.queryExecution().analyzed()
+    assert plan.nodeName() == "MapInArrow" and list(plan.children().head().schema().fieldNames()) == ["id", "text", "_in_0"]
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_hot_keys_are_joined_apart(spark, monkeypatch, how):
     monkeypatch.setattr(_common, "FEW", 4)

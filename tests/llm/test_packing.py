@@ -146,3 +146,13 @@ def test_long_text(spark, library):
     pieces = packing.tokenize(docs, PATH).withColumn("ids_crc32", F.crc32("ids"))
     tokens = {1: [*library(text), 1], 2: [*library("short"), 1]}
     _check(packing.pack(pieces).collect(), tokens, 2048)
+
+
+def test_words_kept_are_bounded_by_their_bytes(monkeypatch, library):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 2000)
+    encoder = packing.Encoder(PATH)
+    for i in range(300):
+        text = f"word{i} and other{i % 7} words {i}"
+        assert _ids(encoder.encode(text)) == list(library(text))
+        for kept in (encoder.known, encoder.parts):
+            assert len(kept) + len(kept.old) <= 2 * 2000 // 240 + 2

@@ -107,3 +107,11 @@ def test_clashing_names_and_long_texts(spark):
     assert sorted(r.doc_id for r in kept) == [1, 3] and len(next(r.text for r in kept if r.doc_id == 1)) == len(long)
     pieces = corpus_pipeline.packing_stage(spark, docs, SF).collect()
     assert {r.doc_id for r in pieces} == {1, 2, 3} and max(r.length for r in pieces) == 2048
+
+
+def test_the_language_stage_sends_texts_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = corpus_pipeline.language_stage(spark, docs, SF)._jdf.queryExecution().analyzed()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head()
+    assert plan.children().head().schema().json().count('"string"') == 3  # text, lang and source

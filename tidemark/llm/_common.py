@@ -10,12 +10,42 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.scratch import delete_path, drop, fresh, materialize, scratch_folder, scratch_root
 
-__all__ = ["append_columns", "delete_path", "drop", "fresh", "join_hot", "map_rows", "materialize", "scratch_folder", "scratch_root"]
+__all__ = ["Kept", "append_columns", "delete_path", "drop", "fresh", "join_hot", "map_rows", "materialize", "scratch_folder", "scratch_root"]
 
 #: A key with more than this share of all rows is joined apart; of such there are fewer than FEW.
 FEW = 1024
 #: So few rows of a key are no burden to a task, and no table of as many needs to be split.
 LIGHT = 1024
+_ENTRY = 240  # bytes of a word kept besides its characters and ids
+_LONGEST_KEPT = 40
+
+
+class Kept(dict):
+    """Ids, as bytes, of short texts, worked out when first asked for.
+
+    When they take `limit` bytes, or are `most`, the entries become the old ones, of which
+    those asked for again return.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int, most: int = 1 << 62) -> None:
+        super().__init__()
+        self.encode = encode
+        self.limit = limit
+        self.most = most
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def __missing__(self, text: str) -> bytes:
+        if (found := self.old.get(text)) is None:
+            found = self.encode(text)
+        if len(text) <= _LONGEST_KEPT:
+            if self.size >= self.limit or len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+                self.size = 0
+            self.size += _ENTRY + 4 * len(text) + len(found)
+            self[text] = found
+        return found
 
 
 def join_hot(rows: DataFrame, table: DataFrame, on: str, weight: str, total: int, how: str = "inner") -> DataFrame:
@@ -74,7 +104,8 @@ def append_columns(df: DataFrame, inputs: list[str], fn: Callable[..., dict[str,
     lower = {n.lower() for n in added.fieldNames()}
     kept = [f for f in df.schema.fields if f.name.lower() not in lower]
     names = [f.name for f in kept]
-    place = {c: names.index(c) if c in names else len(names) + i for i, c in enumerate(inputs)}
+    apart = list(dict.fromkeys(c for c in inputs if c not in names))
+    place = {c: i for i, c in enumerate([*names, *apart])}
     out = StructType(kept + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +118,6 @@ def append_columns(df: DataFrame, inputs: list[str], fn: Callable[..., dict[str,
                 columns += [pa.array(got[f.name], target.field(f.name).type) for f in added.fields]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    # Inputs stand after what is kept, under names that no column has, and are found by place.
-    apart = fresh(names, *[f"_in_{i}" for i in range(len(inputs))])
-    return df.select(*[df[n] for n in names], *[df[c].alias(a) for c, a in zip(inputs, apart)]).mapInArrow(run, out)
+    # Inputs that aren't kept stand after what is, under names that no column has; all are found by place.
+    others = fresh(names, *[f"_in_{i}" for i in range(len(apart))])
+    return df.select(*[df[n] for n in names], *[df[c].alias(a) for c, a in zip(apart, others)]).mapInArrow(run, out)

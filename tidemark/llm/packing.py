@@ -22,43 +22,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import fresh, map_rows, materialize
+from tidemark.llm._common import Kept, fresh, map_rows, materialize
 
 WINDOW = 2048
 PIECE = 256
 #: Windows in a group: so many are balanced together, and about half of one is padding.
 GROUP_WINDOWS = 192
-#: Words whose ids a worker keeps at most.
+#: Words that a worker keeps at most, and bytes of these with their ids, of which there are two kinds.
 CACHE = 500_000
-_LONGEST_KEPT = 40
+CACHE_BYTES = 64 << 20
 #: Fixed value: how byte-level BPE of this family splits a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-class _Kept(dict):
-    """Ids, as bytes, of short texts, worked out when first asked for.
-
-    When it is full the entries become the old ones, of which those asked for again return.
-    """
-
-    def __init__(self, ids) -> None:
-        super().__init__()
-        self.ids = ids
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, text: str) -> bytes:
-        if (found := self.old.get(text)) is None:
-            found = self.ids(text)
-        if len(text) <= _LONGEST_KEPT:
-            if len(self) >= CACHE:
-                self.old = dict(self)
-                self.clear()
-            self[text] = found
-        return found
-
-
 class Encoder:
     """Byte-level BPE ids of whole texts, as little-endian unsigned 32-bit bytes.
 
@@ -91,8 +69,8 @@ class Encoder:
         other = [b for b in range(256) if b not in set(plain)]
         self.symbol = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
         self.space = self.symbol[32]
-        self.known = _Kept(self._word)
-        self.parts = _Kept(self._part)
+        self.known = Kept(self._word, CACHE_BYTES, CACHE)
+        self.parts = Kept(self._part, CACHE_BYTES, CACHE)
 
     def _ids(self, part: str) -> bytes:
         if part.isascii() and part[1:].isalpha():  # each byte but a first space is its own symbol
