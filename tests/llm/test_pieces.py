@@ -80,3 +80,22 @@ def test_words_kept_are_bounded_by_their_bytes(monkeypatch):
         text = f"word{i} and other{i % 7} words"
         assert _ids(codec.encode(text)) == LIBRARY.encode(text)
         assert len(codec.words) + len(codec.words.old) <= 2 * 2000 // 240 + 2
+
+
+def test_ids_are_decoded_in_the_same_pass(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "a  b▁c"), (3, "a  b▁c")], "id long, text string")
+    found = pieces.encode(rows, PATH, decoded="back")
+    assert found.columns == ["id", "text", "ids", "back"]
+    both = pieces.decode(pieces.encode(rows, PATH), PATH, text="back")
+    assert sorted(map(str, found.collect())) == sorted(map(str, both.collect()))
+    plan = queries.op3_pieces(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_the_pieces_that_end_at_a_position_are_found_at_once():
+    v = pieces.Vocabulary(PATH)
+    text = "theingandorations" * 3
+    for end in range(1, len(text) + 1):
+        node = v.survivors(text[:end], last := [""], [v.row("")], v.root)
+        assert [p for _, p, _ in node[2]] == [text[b:end] for b in range(end - 1) if text[b:end] in v.ids]
+        assert pieces.trace(last, end) == v.merge(text[:end])

@@ -26,14 +26,12 @@ from operator import add
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidemark.llm._common import append_columns
+from tidemark.llm._common import Kept, append_columns
 
 SPACE = "▁"
-#: Pairs of pieces that a worker keeps at most, and bytes of words with their ids, of which there are two kinds.
+#: Pairs of pieces that a worker keeps at most, and bytes of words with their ids; parts of long words may take a quarter of these.
 CACHE = 300_000
-CACHE_BYTES = 40 << 20
-_ENTRY = 240  # bytes of a word kept besides its characters and ids
-_LONGEST_KEPT = 40
+CACHE_BYTES = 64 << 20
 #: Characters after which paths are traced back.
 _TRACE = 64
 _UNITS = re.compile(" *[^ ]+| +")
@@ -79,9 +77,34 @@ class Vocabulary:
         return {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
 
     @cached_property
-    def ends(self) -> dict[str, bool]:
-        """Ends of pieces, and whether they are pieces: looking back may stop at what no piece ends with."""
-        return dict.fromkeys((p[i:] for p in self.ids for i in range(1, len(p))), False) | dict.fromkeys(self.ids, True)
+    def root(self) -> list:
+        """Beginnings of pieces, from that of no character on.
+
+        Each has those that are a character longer, the longest beginning that it ends with,
+        the pieces of several characters that it ends with, the longest first, each with
+        its length and row, and its last character with its row.
+        """
+        root: list = [{}, None, (), None]
+        single = {c: (c, self.row(c)) for c in set(chain.from_iterable(self.ids))}
+        for piece in self.ids:
+            node = root
+            for c in piece:
+                if (below := node[0].get(c)) is None:
+                    below = node[0][c] = [{}, root, (), single[c]]
+                node = below
+            if len(piece) > 1:
+                node[2] = ((len(piece), piece, self.row(piece)),)
+        level = list(root[0].values())
+        while level:
+            for node in level:
+                for c, below in node[0].items():
+                    end = node[1]
+                    while c not in end[0] and end is not root:
+                        end = end[1]
+                    below[1] = end[0].get(c, root)
+                    below[2] = below[2] + below[1][2] if below[2] else below[1][2]
+            level = [below for node in level for below in node[0].values()]
+        return root
 
     def merge(self, text: str) -> list[str]:
         """The model's pieces of a short text: the best-scored neighbours merge first, the left ones on ties."""
@@ -113,22 +136,26 @@ class Vocabulary:
         found = self.row(before)[piece] = self.merge(before + piece) == ([before, piece] if before else [piece])
         return found
 
-    def survivors(self, text: str, last: list[str], rows: list[dict[str, bool]]) -> None:
-        """Extend `last`, the survivors at the first positions of text, to all positions; rows are theirs."""
-        ends, fits = self.ends.get, self.fits
-        for end in range(len(last), len(text) + 1):
-            found = [(end - 1, text[end - 1])]  # a character that is no piece stands for its bytes
-            for begin in range(end - 2, -1, -1):
-                if (whole := ends(piece := text[begin:end])) is None:
-                    break
-                if whole:
-                    found.append((begin, piece))
-            for begin, piece in reversed(found):
-                fit = rows[begin].get(piece)
-                if fits(last[begin], piece) if fit is None else fit:
-                    last.append(piece)
-                    rows.append(self.row(piece))
+    def survivors(self, text: str, last: list[str], rows: list[dict[str, bool]], node: list) -> list:
+        """Extend `last`, the survivors at the first positions of text, to all positions; rows are theirs.
+
+        `node` is the longest beginning of a piece at the last of these; returned is that at the end.
+        """
+        root, fits = self.root, self.fits
+        add_last, add_row = last.append, rows.append
+        for end, c in enumerate(text[len(last) - 1 :], len(last)):
+            while (below := node[0].get(c)) is None and node is not root:
+                node = node[1]
+            node = below or root
+            for length, piece, row in node[2]:
+                fit = rows[end - length].get(piece)
+                if fits(last[end - length], piece) if fit is None else fit:
                     break
+            else:  # one piece fits, so this does; a character that is no piece stands for its bytes
+                piece, row = node[3] or (c, self.row(c))
+            add_last(piece)
+            add_row(row)
+        return node
 
     def ids_of(self, pieces: list[str]) -> list[int]:
         """Ids; a character that is no piece gives those of its bytes."""
@@ -147,13 +174,14 @@ class StreamingEncoder:
         self.text = ""
         self.last = [""]
         self.rows = [vocabulary.row("")]
+        self.node = vocabulary.root
 
     def feed(self, text: str) -> list[int]:
         """Take more text; returns the ids that no further text can change."""
         out: list[int] = []
         for at in range(0, len(text), _TRACE):
             self.text += text[at : at + _TRACE]
-            self.vocabulary.survivors(self.text, self.last, self.rows)
+            self.node = self.vocabulary.survivors(self.text, self.last, self.rows, self.node)
             if len(self.text) > self.vocabulary.longest:
                 recent = range(max(0, len(self.text) - self.vocabulary.longest + 1), len(self.text) + 1)
                 out += self._give(self._meet(set(recent)))
@@ -186,43 +214,17 @@ def trace(last: list[str], end: int) -> list[str]:
     return pieces[::-1]
 
 
-class _Kept(dict):
-    """Ids, as bytes, of short texts, worked out when first asked for.
-
-    When they take CACHE_BYTES the entries become the old ones, of which those asked for
-    again return.
-    """
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
-        self.old: dict[str, bytes] = {}
-        self.size = 0
-
-    def __missing__(self, text: str) -> bytes:
-        if (found := self.old.get(text)) is None:
-            found = self.encode(text)
-        if len(text) <= _LONGEST_KEPT:
-            if self.size >= CACHE_BYTES:
-                self.old = dict(self)
-                self.clear()
-                self.size = 0
-            self.size += _ENTRY + 4 * len(text) + len(found)
-            self[text] = found
-        return found
-
-
 class Codec:
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
-        self.runs = _Kept(self._run)
-        self.words = _Kept(self._word)
+        self.runs = Kept(self._run, CACHE_BYTES // 4)
+        self.words = Kept(self._word, CACHE_BYTES)
 
     def _run(self, text: str) -> bytes:
         v = self.vocabulary
         if len(text) <= _TRACE:  # the whole of it is in the window
             last, rows = [""], [v.row("")]
-            v.survivors(text, last, rows)
+            v.survivors(text, last, rows, v.root)
             ids = v.ids_of(trace(last, len(text)))
         else:
             stream = StreamingEncoder(v)
@@ -244,7 +246,7 @@ class Codec:
     def _word(self, word: str) -> bytes:
         if not word:
             raise ValueError("two spaces")
-        return self._unit(" " + word)
+        return self._run(SPACE + word) if len(word) < _TRACE else self._unit(" " + word)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes; those of an empty text are none."""
@@ -280,12 +282,19 @@ def _codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add the ids of every text as little-endian unsigned 32-bit bytes; null for a null text.
 
-    Keeps every row and column; a column with the name of `ids` is replaced.
+    With `decoded`, a column of that name has the text that decode() gives for the ids, without
+    sending them to Python again. Keeps every row and column; those of these names are replaced.
     """
-    return append_columns(df, [text], lambda texts: {ids: [None if t is None else _codec(path).encode(t) for t in texts]}, f"`{ids}` binary")
+
+    def run(texts: list[str | None]) -> dict[str, list]:
+        codec = _codec(path)
+        found = {ids: [None if t is None else codec.encode(t) for t in texts]}
+        return found | {decoded: [None if i is None else codec.decode(i) for i in found[ids]]} if decoded else found
+
+    return append_columns(df, [text], run, f"`{ids}` binary" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

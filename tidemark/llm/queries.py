@@ -41,7 +41,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     path = tokenizer_path(PIECE_BPE)
-    coded = pieces.decode(pieces.encode(docs, path), path)
+    coded = pieces.encode(docs, path, decoded="decoded")
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
