@@ -11,6 +11,8 @@ from tidemark.llm.queries import BYTE_BPE, pack_digests, tokenizer_path
 
 #: A document goes if no language holds this share of it.
 LEAST_SHARE = 0.3
+#: Bytes of words that packing keeps in a worker: the executors' heaps have grown in the stages before it.
+KEPT_BYTES = 64 << 20
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into windows: a row for each piece."""
-    return pack_digests(docs, tokenizer_path(BYTE_BPE))
+    return pack_digests(docs, tokenizer_path(BYTE_BPE), KEPT_BYTES)
 
 
 STAGES = [

@@ -156,3 +156,11 @@ def test_words_kept_are_bounded_by_their_bytes(monkeypatch, library):
         assert _ids(encoder.encode(text)) == list(library(text))
         for kept in (encoder.known, encoder.parts):
             assert len(kept) + len(kept.old) <= 2 * 2000 // 240 + 2
+
+
+def test_a_caller_may_bound_what_is_kept():
+    small, usual = packing.Encoder(PATH, 4000), packing.Encoder(PATH)
+    assert (small.known.limit, small.parts.limit) == (3000, 1000)
+    assert usual.known.limit + usual.parts.limit == packing.CACHE_BYTES
+    text = " ".join(f"word{i}, and more{i}" for i in range(500))
+    assert small.encode(text) == usual.encode(text) and len(small.known) + len(small.known.old) <= 2 * 3000 // 240 + 2

@@ -30,20 +30,19 @@ class Kept(dict):
     def __init__(self, encode: Callable[[str], bytes], limit: int, most: int = 1 << 62) -> None:
         super().__init__()
         self.encode = encode
-        self.limit = limit
-        self.most = most
+        self.limit = self.room = limit
+        self.entry = max(_ENTRY, limit // most)
         self.old: dict[str, bytes] = {}
-        self.size = 0
 
     def __missing__(self, text: str) -> bytes:
         if (found := self.old.get(text)) is None:
             found = self.encode(text)
-        if len(text) <= _LONGEST_KEPT:
-            if self.size >= self.limit or len(self) >= self.most:
+        if (n := len(text)) <= _LONGEST_KEPT:
+            if self.room <= 0:
                 self.old = dict(self)
                 self.clear()
-                self.size = 0
-            self.size += _ENTRY + 4 * len(text) + len(found)
+                self.room = self.limit
+            self.room -= self.entry + 4 * n + len(found)
             self[text] = found
         return found
 

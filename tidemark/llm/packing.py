@@ -28,9 +28,9 @@ WINDOW = 2048
 PIECE = 256
 #: Windows in a group: so many are balanced together, and about half of one is padding.
 GROUP_WINDOWS = 192
-#: Words that a worker keeps at most, and bytes of these with their ids, of which there are two kinds.
+#: Words that a worker keeps at most of each of two kinds, and bytes of both with their ids, of which whole words have most.
 CACHE = 500_000
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 256 << 20
 #: Fixed value: how byte-level BPE of this family splits a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
@@ -46,7 +46,7 @@ class Encoder:
     tokens in a text become their ids, and what stands between is encoded by itself.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept_bytes: int | None = None) -> None:
         import os
 
         import regex
@@ -69,15 +69,19 @@ class Encoder:
         other = [b for b in range(256) if b not in set(plain)]
         self.symbol = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
         self.space = self.symbol[32]
-        self.known = Kept(self._word, CACHE_BYTES, CACHE)
-        self.parts = Kept(self._part, CACHE_BYTES, CACHE)
+        kept_bytes = kept_bytes or CACHE_BYTES
+        self.known = Kept(self._word, kept_bytes * 3 // 4, CACHE)
+        self.parts = Kept(self._part, kept_bytes // 4, CACHE)
 
     def _ids(self, part: str) -> bytes:
         if part.isascii() and part[1:].isalpha():  # each byte but a first space is its own symbol
             part = self.space + part[1:] if part[0] == " " else part if part.isalpha() else self._symbols(part)
         else:
             part = self._symbols(part)
-        found = [t.id for t in self.tokenize(part)]
+        return self._of(part)
+
+    def _of(self, symbols: str) -> bytes:
+        found = [t.id for t in self.tokenize(symbols)]
         return _PACK[len(found)](*found) if len(found) < len(_PACK) else struct.pack(f"<{len(found)}I", *found)
 
     def _symbols(self, part: str) -> str:
@@ -86,7 +90,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """Ids of a space and a word; letters, with or without a mark after them, need no split."""
         if word.isalpha():
-            return self._ids(" " + word)
+            return self._of(self.space + word if word.isascii() else self._symbols(" " + word))
         if not word or word[0].isspace() or word[-1].isspace():
             raise ValueError("not between two characters that are not white space")
         if word[-1] in ".,;:!?" and word[:-1].isalpha():
@@ -113,7 +117,7 @@ class Encoder:
             return b"".join([self.encode_whole(words[0]), *[self.encode_whole(" " + w) if w[-1].isspace() else self.known[w] for w in words[1:]]])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
 def cut(n: int, window: int = WINDOW, piece: int = PIECE) -> Iterator[tuple[int, int]]:
@@ -123,23 +127,24 @@ def cut(n: int, window: int = WINDOW, piece: int = PIECE) -> Iterator[tuple[int,
     yield from ((at, min(piece, n - at)) for at in range(whole, n, piece))
 
 
-def tokenize(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 1, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+def tokenize(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 1, window: int = WINDOW, piece: int = PIECE, kept_bytes: int | None = None) -> DataFrame:
     """Pieces of every document: key, start, length, doc_tokens and ids (binary, little-endian 32 bit).
 
     The ids are those of the text, then end_id. A null text counts as empty and gives
     one piece, of end_id alone; a text of any length is cut as a whole. Repeated rows, and
-    rows with a null key, each give their own pieces. Other columns are not kept.
+    rows with a null key, each give their own pieces. Other columns are not kept. A
+    worker keeps words of kept_bytes, CACHE_BYTES if not given, and as many old ones.
     """
     kind = df.schema[key].dataType.simpleString()
     end = struct.pack("<I", end_id)
 
     def run(columns: dict[str, list]) -> dict[str, list]:
-        if path not in _encoders:
+        if (path, kept_bytes) not in _encoders:
             gc.set_threshold(200_000)  # what is kept has no cycles, and is long to go through
-            _encoders[path] = Encoder(path)
+            _encoders[path, kept_bytes] = Encoder(path, kept_bytes)
         out: dict[str, list] = {key: [], "start": [], "length": [], "doc_tokens": [], "ids": []}
         for doc, value in zip(columns[key], columns[text], strict=True):
-            ids = _encoders[path].encode(value or "") + end
+            ids = _encoders[path, kept_bytes].encode(value or "") + end
             for a, n in cut(len(ids) // 4, window, piece):
                 out[key].append(doc)
                 out["start"].append(a)

@@ -28,9 +28,9 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
-def pack_digests(docs: DataFrame, path: str) -> DataFrame:
+def pack_digests(docs: DataFrame, path: str, kept_bytes: int | None = None) -> DataFrame:
     """The pieces of all documents in their windows, ids being given by their crc32."""
-    cut = packing.tokenize(docs, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    cut = packing.tokenize(docs, path, kept_bytes=kept_bytes).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
