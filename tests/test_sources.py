@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import schema
 from tidemark.functions import bloom
@@ -117,6 +118,37 @@ def test_run_files(spark, tmp_path):
     assert run_files.write(df.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+@pytest.fixture
+def joins_decided_late(spark):
+    """Joins are planned with exchanges, and become broadcast joins as they run; what is small isn't put together."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "4096", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in old.items():
+        spark.conf.set(name, value)
+
+
+def test_runs_and_logs_are_written_whole(spark, tmp_path, joins_decided_late):
+    """Each run and log by one task, also where a join had dealt the rows by its number."""
+    n = 9000
+    rows = spark.range(0, n, 1, 6).select((F.col("id") % 3).alias("run_id"), F.format_string("key%05d", "id").cast("binary").alias("key"), F.col("id").alias("seq"))
+    rows = rows.withColumn("value", F.col("seq").cast("string").cast("binary"))
+    told = run_files.write(rows, f"file://{tmp_path}/plain").collect()
+    assert sorted((r.run_id, r.n) for r in told) == [(i, 3000) for i in range(3)]
+    rows = rows.join(rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")), "run_id")
+    run_files.write(rows, f"file://{tmp_path}/joined")
+    for name in ("plain", "joined"):
+        assert run_files.read(spark, f"file://{tmp_path}/{name}").distinct().count() == n
+    packed = blocks.pack(rows)
+    assert packed.agg(F.sum("n")).first()[0] == n and packed.groupBy("run_id", "block_no").count().where("count > 1").count() == 0
+    log = rows.select(F.col("run_id").alias("log_no"), F.lit(1).cast("byte").alias("op"), "seq", "key", "value")
+    log = log.join(log.groupBy("log_no").agg(F.count(F.lit(1)).alias("n")), "log_no").withColumn("log_no", F.col("log_no").cast("int"))
+    log_files.write(log, f"file://{tmp_path}/wal")
+    assert log_files.read(spark, f"file://{tmp_path}/wal").distinct().count() == n
+
+
 def test_get_over_run_files(spark, tmp_path):
     rows, df = _runs(spark)
     folder = f"file://{tmp_path}/sst"

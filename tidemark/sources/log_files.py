@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema
+from tidemark.operators.runs import gathered
 from tidemark.plans import scratch
 from tidemark.sources import files
 from tidemark.sources.outputs import Output
@@ -112,7 +113,7 @@ def write(log: DataFrame, folder: str) -> DataFrame:
     batch in memory; files are rotated by size, which bounds what a task writes.
     """
     folder = files.qualified(log.sparkSession, folder)
-    ordered = log.select("log_no", "op", "seq", "key", "value").repartition("log_no").sortWithinPartitions("log_no", "seq")
+    ordered = gathered(log.select("log_no", "op", "seq", "key", "value"), "log_no", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = ((int(n), serialize(int(o), int(s), bytes(k), bytes(v))) for b in batches for n, o, s, k, v in zip(b["log_no"], b["op"], b["seq"], b["key"], b["value"]))
