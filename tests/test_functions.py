@@ -90,6 +90,18 @@ def test_filters_as_relations(spark):
     assert bloom.decoded(cut, ["g"]).count() == 0
 
 
+def test_keys_are_put_to_every_filter(spark):
+    members = spark.range(900).select((F.col("id") % 3).alias("g"), F.format_string("key%04d", F.col("id") + F.col("id") % 3 * 300).cast("binary").alias("key"))
+    words = bloom.words(members, ["g"], "key", 0.05)
+    bounds = members.groupBy("g").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    keys = spark.range(2000).select(F.format_string("key%04d", "id").cast("binary").alias("key"))
+    got = sorted((r.g, bytes(r.key)) for r in bloom.asks(keys, words, bounds, "g", "key").collect())
+    pairs = keys.crossJoin(bounds).where("key BETWEEN lo AND hi").select("g", "key")
+    want = sorted((r.g, bytes(r.key)) for r in bloom.passes(pairs, words, ["g"], "key").where("passes").collect())
+    assert got == want and len(want) > 900
+    assert bloom.asks(keys, words.limit(0), bounds, "g", "key").count() == 0
+
+
 def test_varint_of_32_bits(spark):
     rows = spark.createDataFrame([(bytearray(b),) for b in (b"\xff\xff\xff\xff\x0f", b"\xff\xff\xff\xff\x7f", b"\x80\x80\x80\x80\x80\x01", b"\x80", b"\x05")], "b binary")
     assert [r[0] for r in rows.select(varint.decode(F.col("b"), 32)).collect()] == [2**32 - 1, 2**32 - 1, None, None, 5]

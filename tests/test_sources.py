@@ -137,6 +137,8 @@ def test_runs_and_logs_are_written_whole(spark, tmp_path, joins_decided_late):
     rows = rows.withColumn("value", F.col("seq").cast("string").cast("binary"))
     told = run_files.write(rows, f"file://{tmp_path}/plain").collect()
     assert sorted((r.run_id, r.n) for r in told) == [(i, 3000) for i in range(3)]
+    got = lookup.run_get(rows.select("key"), [0, 1, 2], run_files.filters(spark, f"file://{tmp_path}/plain"), run_files.blocks(spark, f"file://{tmp_path}/plain"))
+    assert got.distinct().count() == n
     rows = rows.join(rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")), "run_id")
     run_files.write(rows, f"file://{tmp_path}/joined")
     for name in ("plain", "joined"):
