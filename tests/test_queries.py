@@ -47,6 +47,12 @@ def test_every_query_has_sql_and_rows(db):
     assert {name for name, sql in tidemark.oracles.ORACLES.items() if not db.execute(sql).fetchone()} == {"lower_bound"}
 
 
+def test_filtered_get_asks_every_key(spark, db):
+    """Every key that is live in the log, and not only those with a change of an even number."""
+    live = {r[0] for r in db.execute(tidemark.oracles.ORACLES["run_lookup"]).fetchall()}
+    assert {r.k for r in tidemark.queries.QUERIES["filtered_get"](spark, SF).collect()} == live
+
+
 def test_entry(spark):
     import __spark_entry__
 
