@@ -46,6 +46,23 @@ def test_running_total_over_many_buckets(spark, monkeypatch):
     assert len(found) == 499 and all(r.before == r.seq * (r.seq - 1) // 2 for r in found)
 
 
+def test_running_total_joins_rows_by_bucket(spark, monkeypatch):
+    """No task of the joins takes the rows of all buckets, also where nothing is broadcast."""
+    monkeypatch.setattr(runs, "BUCKET", 64)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    old = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        rows = spark.range(1, 4000).withColumnRenamed("id", "seq")
+        found = runs.running_total(rows, "seq", F.lit(1)).select("before", F.spark_partition_id().alias("part"))
+        sizes = [r["count"] for r in found.groupBy("part").count().collect()]
+        assert sum(sizes) == 3999 and max(sizes) < 2500
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
 def test_empty_log(spark):
     log = _log(spark, [("a", "1")]).limit(0)
     assert changelog.snapshot(log).count() == 0

@@ -17,7 +17,7 @@ def running_total(rows: DataFrame, order: str, amount: Column, out: str = "befor
     """Add the sum of `amount` over all rows with a smaller `order`, a dense unique number.
 
     Totals of buckets, then of buckets of buckets, give where each begins; only within
-    a bucket are rows sorted, so no task sees more than BUCKET of them.
+    a bucket are rows sorted and joined, so no task need see more than BUCKET of them.
     """
     rows = rows.withColumn("_amount", amount).withColumn("_b", F.floor(F.col(order) / BUCKET)).withColumn("_bb", F.floor(F.col("_b") / BUCKET))
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
@@ -26,7 +26,8 @@ def running_total(rows: DataFrame, order: str, amount: Column, out: str = "befor
     large = large.select("_bb", F.coalesce(F.sum("_sum").over(before(F.lit(0)).orderBy("_bb")), F.lit(0)).alias("_far"))
     small = small.select("_bb", "_b", F.coalesce(F.sum("_sum").over(before("_bb").orderBy("_b")), F.lit(0)).alias("_near"))
     rows = rows.withColumn("_own", F.coalesce(F.sum("_amount").over(before("_bb", "_b").orderBy(order)), F.lit(0)))
-    rows = rows.join(small, ["_bb", "_b"]).join(large, "_bb")
+    # Beginnings are put together first: a join of the rows by _bb would be one task's.
+    rows = rows.join(small.join(large, "_bb"), ["_bb", "_b"])
     return rows.withColumn(out, F.col("_far") + F.col("_near") + F.col("_own")).drop("_amount", "_b", "_bb", "_far", "_near", "_own")
 
 
