@@ -258,6 +258,21 @@ def test_stateful_stream(spark, tmp_path):
     assert last == {"a": ("z", 3, True), "b": ("", 4, False)}
 
 
+def test_stateful_stream_tells_only_newer_versions(spark, tmp_path):
+    """By batch: changes that come late or again tell nothing, and no key is stepped through in Python."""
+    folder = str(tmp_path / "in")
+    schema_ = "k string, seq long, v string"
+    files = [[("a", 3, "z"), ("a", 1, "x"), ("b", 2, "")], [("a", 2, "late"), ("a", 3, "z"), ("c", 1, "w")], [("a", 5, ""), ("b", 1, "late")]]
+    for rows in files:
+        spark.createDataFrame(rows, schema_).coalesce(1).write.mode("append").parquet(folder)
+    stream = ingest.live_changes(spark.readStream.schema(schema_).option("maxFilesPerTrigger", 1).parquet(folder))
+    assert "InPandas" not in stream._jdf.queryExecution().logical().toString()
+    got = []
+    query = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: got.extend((n, *r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(got) == [(0, "a", "z", 3, True), (0, "b", "", 2, False), (1, "c", "w", 1, True), (2, "a", "", 5, False)]
+
+
 def test_prompt(spark, tmp_path, monkeypatch, capsys):
     """The folder is an argument, the banner names it, and an error or the input's end doesn't break the prompt."""
     folder = str(tmp_path / "db")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,22 +41,13 @@ def latest(changes: DataFrame, key: str = "k", order: str = "seq", value: str =
 def live_changes(changes: DataFrame) -> DataFrame:
     """For each key and micro-batch with a newer version: k, v, seq and whether the key is live after it.
 
-    The state is one sequence number a key; changes that come late with a lower one are dropped.
+    The state is the newest version of a key and the time of the batch that brought it, by
+    which keys are left out that a batch gave only changes with no higher number.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else -1
-        best: tuple[int, str] | None = None
-        for frame in frames:
-            top = frame.loc[frame["seq"].idxmax()]
-            if top["seq"] > (best[0] if best else seen):
-                best = int(top["seq"]), top["v"]
-        if best:
-            state.update((best[0],))
-            yield pd.DataFrame({"k": [key[0]], "v": [best[1]], "seq": [best[0]], "live": [best[1] != ""]})
-
-    return changes.select("k", "seq", "v").groupBy("k").applyInPandasWithState(step, "k string, v string, seq long, live boolean", "seq long", "update", GroupStateTimeout.NoTimeout)
+    now = F.unix_micros(F.current_timestamp())  # the batch's own, also when it is repeated
+    rows = changes.select("k", "seq", (-now).alias("at"), "v")
+    newest = rows.groupBy("k").agg(F.max(F.struct("seq", "at", "v")).alias("n"))  # of equal numbers the first batch's
+    return newest.where(F.col("n.at") == -now).select("k", F.col("n.v").alias("v"), F.col("n.seq").alias("seq"), (~F.col("n.v").eqNullSafe("")).alias("live"))
 
 
 def drained(stream: DataFrame, mode: str = "update") -> DataFrame:
